@@ -75,17 +75,24 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray,
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def telling(rows: np.ndarray, hashes: np.ndarray, high: np.ndarray, least_z: float = 4.0, least_docs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, counts among high rows, counts among the others, z), sorted by hash: features whose share differs between the two."""
+def telling(rows: np.ndarray, hashes: np.ndarray, high: np.ndarray, least_g: float, least_docs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts among high rows, counts among the others), sorted by hash: features whose share differs between the two.
+
+    The measure is the root of the likelihood ratio statistic, which also holds for few rows.
+    """
     known, inverse = np.unique(hashes, return_inverse=True)
     a = np.bincount(inverse, high[rows], minlength=len(known))
     b = np.bincount(inverse, minlength=len(known)) - a
-    na, nb = max(1, high.sum()), max(1, (~high).sum())
-    pa_, pb = (a + 0.5) / (na + 1), (b + 0.5) / (nb + 1)
-    z = (pa_ - pb) / np.sqrt(pa_ * (1 - pa_) / na + pb * (1 - pb) / nb)
-    keep = np.flatnonzero((np.abs(z) >= least_z) & (a + b >= least_docs))
-    keep = np.sort(keep[np.argsort(-np.abs(z[keep]), kind="stable")[:KEPT]])
-    return known[keep], a[keep], b[keep], z[keep]
+    na, nb = high.sum(), (~high).sum()
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+
+    share = (a + b) / max(1, na + nb)
+    g = np.sqrt(np.maximum(2 * (part(a, share * na) + part(b, share * nb) + part(na - a, (1 - share) * na) + part(nb - b, (1 - share) * nb)), 0))
+    keep = np.flatnonzero((g >= least_g) & (a + b >= least_docs))
+    keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[:KEPT]])
+    return known[keep], a[keep], b[keep]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, n_grades: int, fit_rows: int, options: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -122,12 +129,12 @@ def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate(lists) if lists else np.zeros(0, np.uint64)
 
 
-def fit(lists: list[np.ndarray], grades: np.ndarray, stands: np.ndarray, n_grades: int, high: Callable[[np.ndarray], np.ndarray], options: dict, least_z: float = 4.0, **more) -> OrdinalModel:
+def fit(lists: list[np.ndarray], grades: np.ndarray, stands: np.ndarray, n_grades: int, high: Callable[[np.ndarray], np.ndarray], options: dict, least_g: float, **more) -> OrdinalModel:
     """A model on the telling features. Grades that no row has merge with the next below; without rows everything is grade 0."""
     if not len(grades):
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(n_grades - 1, 50.0), options)
     rows, hashes = flat(lists)
-    kept, *_ = telling(rows, hashes, high(grades), least_z)
+    kept, _, _ = telling(rows, hashes, high(grades), least_g)
     at = np.minimum(np.searchsorted(kept, hashes), max(0, len(kept) - 1))
     hit = kept[at] == hashes if len(kept) else np.zeros(len(hashes), bool)
     w, theta = fit_cumulative_link(rows[hit], at[hit], grades, stands, len(kept), n_grades, **more)

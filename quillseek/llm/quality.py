@@ -20,7 +20,7 @@ GRADES = 3
 OPTIONS = {"beginnings": False, "marks": True}
 SELECT = 0.5
 #: How clearly a feature must tell low from better grades; words seldom do.
-LEAST_Z = 8.0
+LEAST_G = 5.5
 
 
 def rating(quality: Column, toxic: Column) -> Column:
@@ -31,7 +31,7 @@ def rating(quality: Column, toxic: Column) -> Column:
 def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS) -> OrdinalModel:
     """ratings: id and a grade 0 to 2. fit_rows bounds the sample of each grade."""
     lists, grades, stands = labelled_sample(docs, ratings, id_col, text_col, grade_col, GRADES, fit_rows, OPTIONS)
-    return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_z=LEAST_Z)
+    return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_g=LEAST_G)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:

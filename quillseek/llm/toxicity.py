@@ -25,18 +25,19 @@ MILD, STRONG = 3, 8
 #: How much commoner a feature is in toxic texts to count as evidence.
 TELLING_RATIO = 20
 OPTIONS = {"beginnings": True, "marks": False}
-#: A text is rejected if it is toxic in any grade at least this probably; a miss costs more than a false alarm.
-REJECT = 0.2
+#: A text is rejected if it is toxic in any grade at least this probably, and at least
+#: ABOVE_BASE times as probably as a text without any evidence; a miss costs more than a false alarm.
+REJECT, ABOVE_BASE = 0.05, 2.0
 #: How clearly a feature must tell toxic from clean rows.
-LEAST_Z = 6.0
+LEAST_G = 5.5
 
 
 def severity(lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 3 of sampled rows, from the flag and the evidence in the text."""
     rows, hashes = flat(lists)
-    kept, a, b, z = telling(rows, hashes, toxic, LEAST_Z)
+    kept, a, b = telling(rows, hashes, toxic, LEAST_G)
     ratio = ((a + 0.5) / max(1, toxic.sum())) / ((b + 0.5) / max(1, (~toxic).sum()))
-    strong = kept[(z > 0) & (ratio >= TELLING_RATIO)]
+    strong = kept[ratio >= TELLING_RATIO]
     hit = np.isin(hashes, strong)
     evidence = np.bincount(rows[hit], minlength=len(lists))
     return np.where(toxic, 1 + (evidence >= MILD) + (evidence >= STRONG), 0)
@@ -46,10 +47,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """labels: id and a flag 0 or 1. fit_rows bounds the sample of either flag."""
     lists, flags, stands = labelled_sample(docs, labels, id_col, text_col, flag_col, 2, fit_rows, OPTIONS)
     grades = severity(lists, flags == 1) if len(flags) else flags
-    return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_z=LEAST_Z)
+    return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_g=LEAST_G)
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs with severity (0 to 3, expected), p_toxic, p_severe and rejected."""
     out = scored(docs, model, text_col, ("severity", "p_toxic", "p_severe"))
-    return out.withColumn("rejected", F.col("p_toxic") >= REJECT)
+    base = float(model.tails(np.zeros(1))[0, 0])
+    return out.withColumn("rejected", F.col("p_toxic") >= max(REJECT, ABOVE_BASE * base))
