@@ -100,7 +100,8 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how:
     found = rows.join(F.broadcast(heavy), [rows[k] == heavy[f"__h_{k}"] for k in keys], "left").drop(*[f"__h_{k}" for k in keys])
     is_heavy = F.col("__heavy").isNotNull()
     found = found.withColumn("__spread", F.when(is_heavy, F.xxhash64(*[F.col(c) for c in rows.columns])).otherwise(F.lit(0).cast("long")))
-    light = groups.select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.struct(*values).alias("__light"), F.lit(0).cast("long").alias("__zero"))
+    # always 0, but no literal: as one, the optimizer would take it out of the join's keys
+    light = groups.select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.struct(*values).alias("__light"), F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__zero"))
     on = [F.col(k) == F.col(f"__l_{k}") for k in keys] + [F.col("__spread") == F.col("__zero")]
     out = found.join(light, on, "left")
     both = F.coalesce("__heavy", "__light")
