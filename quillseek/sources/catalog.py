@@ -141,7 +141,7 @@ class FieldCatalog:
         for relation_name, relation in self.relations.items():
             if parts[0].lower() == relation_name.lower():
                 if len(parts) == 1:
-                    return FieldRef((relation_name,), (), None, relations=(relation,))
+                    return FieldRef((), (), None, relations=(relation,))
                 ref = relation.fields().resolve(".".join(parts[1:]), depth + 1)
                 if ref is not None:
                     ref.relations = (relation, *ref.relations)
