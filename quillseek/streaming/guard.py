@@ -17,5 +17,6 @@ def require_batch(df: DataFrame, what: str) -> None:
 
 def windowed_counts(df: DataFrame, time_col: str, duration: str, late: str, by: list[str] = ()) -> DataFrame:
     """Counts for each tumbling window of event time; rows later than `late` are left out by the watermark."""
-    held = df.withWatermark(time_col, late)
+    # watermarks need timestamps of an instant; those without a zone are taken in the session's
+    held = df.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
     return held.groupBy(F.window(time_col, duration), *by).agg(F.count(F.lit(1)).alias("doc_count")).select(F.col("window.start").alias("start"), *by, "doc_count")
