@@ -246,12 +246,12 @@ def _aggs() -> dict[str, tuple[Query, str]]:
         "a_terms_survivors": a("orders", "terms:(o_custkey~5 -sum:o_totalprice terms:o_orderstatus)", "terms_o_custkey>terms_o_orderstatus", "SELECT o_custkey, o_orderstatus, count(*) AS doc_count FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 5) GROUP BY 1, 2"),
         "a_date_day": a("events", "date:(ts~day sum:value)", "date_ts", dates("date_trunc('day', ts)::TIMESTAMP", "1 DAY", ", round(sum(value), 4) AS sum_value", more=", sum_value"), rounded=("sum_value",)),
         "a_date_month": a("orders", "date:o_orderdate~month", "date_o_orderdate", dates("date_trunc('month', o_orderdate)::TIMESTAMP", "1 MONTH", table="orders").replace("s.ts::TIMESTAMP AS ts", "s.ts::TIMESTAMP AS o_orderdate")),
-        "a_date_quarter": a("orders", "date:(o_orderdate~1q avg:o_totalprice)", "date_o_orderdate", dates("date_trunc('quarter', o_orderdate)::TIMESTAMP", "3 MONTH", ", round(avg(o_totalprice), 4) AS avg_o_totalprice", table="orders", more=", avg_o_totalprice").replace("s.ts::TIMESTAMP AS ts", "s.ts::TIMESTAMP AS o_orderdate"), rounded=("avg_o_totalprice",)),
+        "a_date_quarter": a("orders", "date:(o_orderdate~1q sum:o_totalprice)", "date_o_orderdate", dates("date_trunc('quarter', o_orderdate)::TIMESTAMP", "3 MONTH", ", round(sum(o_totalprice), 4) AS sum_o_totalprice", table="orders", more=", sum_o_totalprice").replace("s.ts::TIMESTAMP AS ts", "s.ts::TIMESTAMP AS o_orderdate"), rounded=("sum_o_totalprice",)),
         "a_date_tz": a("events", 'date:(ts~1d^"America/Chicago")', "date_ts", dates("(date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 6 HOUR)::TIMESTAMP", "1 DAY")),
         "a_date_offset": a("events", "date:(ts~day @offset:6h)", "date_ts", dates("(date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 6 HOUR)::TIMESTAMP", "1 DAY")),
         "a_date_fixed": a("events", "date:(ts~36h)", "date_ts", dates("make_timestamp((epoch_us(ts) // 129600000000) * 129600000000)", "36 HOUR")),
         "a_date_bounds": a("events", "date:ts~week", "date_ts", "WITH g AS (SELECT date_trunc('week', ts)::TIMESTAMP AS k, count(*) AS n FROM events GROUP BY 1), s AS (SELECT unnest(generate_series(least(TIMESTAMP '2023-12-04', (SELECT min(k) FROM g)), greatest(TIMESTAMP '2024-02-26', (SELECT max(k) FROM g)), INTERVAL 7 DAY)) AS ts) SELECT ts, coalesce(n, 0)::BIGINT AS doc_count FROM s LEFT JOIN g ON g.k = s.ts", start=dt.datetime(2023, 12, 5), end=dt.datetime(2024, 3, 1)),
-        "a_hist": a("orders", "histogram:(o_totalprice~50000 avg:o_totalprice)", "histogram_o_totalprice", "WITH g AS (SELECT floor(o_totalprice / 50000)::BIGINT AS k, count(*) AS n, round(avg(o_totalprice), 4) AS m FROM orders GROUP BY 1) SELECT i * 50000.0::DOUBLE AS o_totalprice, coalesce(n, 0)::BIGINT AS doc_count, m AS avg_o_totalprice FROM (SELECT unnest(generate_series((SELECT min(k) FROM g), (SELECT max(k) FROM g))) AS i) LEFT JOIN g ON k = i", rounded=("avg_o_totalprice",)),
+        "a_hist": a("orders", "histogram:(o_totalprice~50000 sum:o_totalprice)", "histogram_o_totalprice", "WITH g AS (SELECT floor(o_totalprice / 50000)::BIGINT AS k, count(*) AS n, round(sum(o_totalprice), 4) AS m FROM orders GROUP BY 1) SELECT i * 50000.0::DOUBLE AS o_totalprice, coalesce(n, 0)::BIGINT AS doc_count, m AS sum_o_totalprice FROM (SELECT unnest(generate_series((SELECT min(k) FROM g), (SELECT max(k) FROM g))) AS i) LEFT JOIN g ON k = i", rounded=("sum_o_totalprice",)),
         "a_hist_gaps": a("events", "terms:(event_type histogram:(value~20))", "terms_event_type>histogram_value", "WITH g AS (SELECT event_type, floor(value / 20)::BIGINT AS k, count(*) AS n FROM events GROUP BY 1, 2), b AS (SELECT event_type, unnest(generate_series(min(k), max(k))) AS i FROM g GROUP BY 1) SELECT b.event_type, i * 20.0::DOUBLE AS value, coalesce(n, 0)::BIGINT AS doc_count FROM b LEFT JOIN g ON g.event_type = b.event_type AND k = i"),
         "a_missing_bucket": a(_orders_null, "terms:(o_orderstatus missing:pri)", "terms_o_orderstatus>missing_pri", f"SELECT o_orderstatus, count(*) AS doc_count FROM {_ORDERS_NULL} WHERE pri IS NULL GROUP BY 1"),
         "a_tophits": (_hits, "SELECT o_orderstatus, doc_count, hits FROM (SELECT o_orderstatus, count(*) AS doc_count FROM orders GROUP BY 1) JOIN (SELECT o_orderstatus, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_totalprice DESC, o_orderkey) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3 GROUP BY 1) USING (o_orderstatus)"),
