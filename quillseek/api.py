@@ -55,7 +55,7 @@ class EngineConfig:
     strict_scope: bool = False
     max_depth: int = 10
     field_filter: Callable[[str], bool] | None = None
-    #: Off unless named: "wildcards", "regex", "fuzzy".
+    #: Off unless named: "wildcards", "regex", "fuzzy", "dots" (`f:1..5`), "count" (`count:_`).
     extensions: frozenset[str] = frozenset()
     validation: ValidationOptions = dc_field(default_factory=ValidationOptions)
 
@@ -169,6 +169,10 @@ class QueryEngine:
         c = self.config
         return FieldCatalog(df.schema, aliases=dict(c.aliases), analyzed={f.lower() for f in c.analyzed_fields}, sort_forms={f.lower() for f in c.sort_fields}, geo=set(c.geo_fields), computed=dict(c.runtime_fields), relations=dict(c.relations), max_depth=c.max_depth, field_filter=c.field_filter)
 
+    def allow_list(self, df: DataFrame) -> ValidationOptions:
+        """Options that allow the fields of df and of its relations, and no others."""
+        return replace(self.config.validation, allowed_fields=set(self.catalog_for(df).field_names()))
+
     def _compiler(self, df: DataFrame, context: Context) -> PredicateCompiler:
         return PredicateCompiler(self.config, self.catalog_for(df), context)
 
@@ -194,7 +198,7 @@ class QueryEngine:
         return df.where(self._compiler(df, context).column(node))
 
     def _aggregator(self, df: DataFrame, aggs: str | Node, start: dt.datetime | None, end: dt.datetime | None) -> tuple[Aggregator, list]:
-        context = self.context("aggregation")
+        context = self.context("aggregation", operations=("count",) if "count" in self.config.extensions else ())
         node = self._tree(aggs, "aggregation", context)
         tree = aggregation_tree(node, context)
         if not context.result.is_valid:

@@ -43,6 +43,7 @@ class Aggregator:
         self.start, self.end = start, end
         self.results: dict[str, DataFrame] = {}
         self.names: dict[str, str] = {}
+        self.meta: dict[str, dict] = {}
 
     def warn(self, message: str) -> None:
         self.compiler.context.result.warnings.append(message)
@@ -131,7 +132,11 @@ class Aggregator:
     def _metric_frames(self, rows: Rows, keys: list[str], aggs: list[Agg], extra: list[Column] = ()) -> list[tuple[DataFrame, list[str]]]:
         """Frames [keys, metrics]: one for all metrics of the rows, one more for each array that metrics look into."""
         groups: dict[tuple[str, ...], list[tuple[Agg, FieldRef]]] = {(): []}
+        ready: list[tuple[str, Column]] = []
         for a in aggs:
+            if a.ready is not None or a.op == "count":
+                ready.append((a.name, a.ready if a.ready is not None else F.count(F.lit(1))))
+                continue
             ref = self._ref(a)
             if ref is None or ref.relations:
                 self.warn(f"{a.name}: no such field")
@@ -139,10 +144,11 @@ class Aggregator:
             groups.setdefault(tuple(p for p in ref.nested_paths if p not in rows.elements), []).append((a, ref))
         out = []
         for path, members in groups.items():
-            if not members and not (extra and path == ()):
+            if not members and not ((extra or ready) and path == ()):
                 continue
             r = self._exploded(rows, members[0][1]) if path else rows
-            columns, names = [*extra] if path == () else [], []
+            columns = [*extra, *[m.alias(n) for n, m in ready]] if path == () else []
+            names = [n for n, _ in ready] if path == () else []
             for a, ref in members:
                 m = self._metric(a, ref.column(r.elements), ref.dtype)
                 if m is not None and a.name not in names:
@@ -216,13 +222,17 @@ class Aggregator:
         else:
             micros = round(size * 1_000_000)
             epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-            since = F.timestamp_diff("MICROSECOND", epoch, ntz)
-            floor = F.floor((since - round(offset * 1e6)) / F.lit(micros)).cast("long") * micros + round(offset * 1e6)
-            df = df.withColumn(key, F.timestamp_add("MICROSECOND", floor, epoch).cast("timestamp_ntz"))
+
+            def cut(x: Column) -> Column:
+                n = F.timestamp_diff("MICROSECOND", epoch, x)
+                n = F.floor((n - round(offset * 1e6)) / F.lit(micros)).cast("long") * micros + round(offset * 1e6)
+                return F.timestamp_add("MICROSECOND", n, epoch).cast("timestamp_ntz")
+
+            df = df.withColumn(key, cut(ntz))
             step = F.expr(f"INTERVAL '{size}' SECOND")
-            cut = None
+
         low = high = None
-        if self.start and self.end and cut:
+        if self.start and self.end:
             low, high = (cut(to_local(F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"))) for t in (self.start, self.end))
         filled = lambda f, by: fill_gaps(f, by, key, step, low, high)
         return Rows(df, rows.elements), filled, (lambda f: f.withColumn(key, to_utc(k))) if tz and kind == "calendar" else None
@@ -240,6 +250,8 @@ class Aggregator:
         else:
             plain = key
         self.names[key] = plain
+        if ref.dtype is not None:
+            self.meta[key] = {"field_type": ref.dtype.simpleString()} | ({"timezone": agg.boost or self.config.timezone} if agg.op == "date" else {})
         made = self._key(rows, agg, ref, key)
         if made is None:
             return
@@ -285,7 +297,7 @@ class Aggregator:
         keys = [*[F.col(f"`{b}`").asc_nulls_last() for b in by], *order]
         if keys and not out.isStreaming:
             out = out.orderBy(*keys)
-        return out.select(*[F.col(f"`{c}`").alias(self.names.get(c, c)) for c in out.columns])
+        return out.select(*[F.col(f"`{c}`").alias(self.names.get(c, c), metadata=self.meta.get(c, {})) for c in out.columns])
 
     def _order(self, agg: Agg, key: str, counts: DataFrame) -> list[Column]:
         k = F.col(f"`{key}`")

@@ -218,6 +218,9 @@ class PredicateCompiler:
         extensions = self.config.extensions
         value = node.text
         is_text = isinstance(ref.dtype, T.StringType)
+        if "dots" in extensions and not node.quoted and ".." in node.term.strip("."):
+            low, _, high = node.term.partition("..")
+            return self._range(Range(low=low, high=high, low_inclusive=True, high_inclusive=True), ref)
         if node.regex and "regex" in extensions and is_text:
             return self._text(ref, lambda c: c.rlike(f"^(?:{node.term})$".replace("\\/", "/")))
         if not node.quoted and node.term == "*":

@@ -101,6 +101,9 @@ class FieldCatalog:
         self.sort_forms.add(name.lower())
         return self
 
+    def add_keyword_and_sort_fields(self, name: str) -> FieldCatalog:
+        return self.add_keyword_field(name).add_sort_field(name)
+
     def _descend(self, parts: list[str]) -> tuple[list[str], list[int], T.DataType | None, dict] | None:
         path, arrays, kind, meta = [], [], self.schema, {}
         for part in parts:

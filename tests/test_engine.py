@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quillseek.api import EngineConfig, QueryEngine
 from quillseek.lang import Op
+from quillseek.lang.ast import walk
 from quillseek.operators.predicate import Unsupported
 from quillseek.rewrite import ValidationError
 from quillseek.sources import FieldCatalog, Relation
@@ -186,3 +187,31 @@ def test_streams(spark, people, tmp_path):
 def test_config_is_shared():
     base = EngineConfig(default_fields=("a",))
     assert QueryEngine(base, mode="relational").config.default_fields == ("a",)
+
+
+def test_extensions_and_set_aggregates(people):
+    e = QueryEngine(extensions=frozenset({"dots", "count"}))
+    assert ids(e.filter(people, "age:30..41")) == [1, 4, 5] and ids(QueryEngine().filter(people, "age:30..41")) == []
+    assert flat(e.aggregate(people, "terms:(ok count:_)")["terms_ok"]) == [(False, 2, 2), (True, 2, 2)]
+
+    def spread(node, context):
+        for n in walk(node):
+            if n.field == "spread":
+                n.data["agg"] = F.max("age") - F.min("age")
+        return node
+
+    e.chains["aggregation"].add(spread, 20)
+    assert flat(e.metrics(people, "spread:age max:age")) == [(20, 50)]
+
+
+def test_fixed_intervals_with_bounds_and_metadata(people):
+    df = QueryEngine().aggregate(people, "date:at~10d", start=dt.datetime(2023, 12, 20), end=dt.datetime(2024, 2, 15))["date_at"]
+    rows = flat(df)
+    assert sum(n for _, n in rows) == 4 and rows[0][0] <= dt.datetime(2023, 12, 20) and rows[-1][0] > dt.datetime(2024, 2, 5)
+    assert df.schema["at"].metadata == {"field_type": "timestamp_ntz", "timezone": "UTC"}
+
+
+def test_allow_list(people):
+    e = QueryEngine()
+    options = e.allow_list(people)
+    assert e.validate_query("AGE:1 name:x", options).is_valid and not e.validate_query("other:1", options).is_valid
