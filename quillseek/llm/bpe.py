@@ -11,8 +11,8 @@ ones side by side in numpy, long ones with a heap.
 Defined cases: a null text encodes to no tokens and decodes to the empty text; special
 tokens in a text become their ids, as the vocabulary file says; null or empty ids decode
 to the empty text; ids that the vocabulary lacks raise ValueError; very long texts are cut
-into words piecemeal; other columns are carried along, and clashing output names raise
-ValueError.
+into words piecemeal; other columns are carried along, but one that has the output's name is
+replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, with_field
+from .common import replacing, small_batches, with_field
 
 #: How byte-level vocabularies split text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -299,8 +299,7 @@ def coder(path: str) -> Coder:
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the token ids of each whole text, array<int>. vocabulary: path of the JSON file on every machine."""
-    if out in docs.columns:
-        raise ValueError(f"docs have a column {out}")
+    docs = replacing(docs, (out,), (text_col,))
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
@@ -318,8 +317,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: st
 
 def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the text of each row's ids; bytes that are no UTF-8 become U+FFFD."""
-    if out in docs.columns:
-        raise ValueError(f"docs have a column {out}")
+    docs = replacing(docs, (out,), (ids_col,))
     small_batches(docs.sparkSession)
     at = docs.columns.index(ids_col)
 

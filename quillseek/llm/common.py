@@ -124,3 +124,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def replacing(df: DataFrame, made: tuple[str, ...], read: tuple[str, ...]) -> DataFrame:
+    """df without the columns (in any case) that an operator is about to make; it must not read one of them."""
+    taken = {m.lower() for m in made}
+    if bad := [r for r in read if r.lower() in taken]:
+        raise ValueError(f"{bad} can't be both read and made")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])

@@ -11,7 +11,7 @@ a hash of the id, each up to FIT_CHARS characters long; texts that are longer do
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the
 smaller language name; a model without languages says `und`; rows without language or
 text teach nothing; an empty table gives an empty result; other columns are carried along,
-and clashing output names raise ValueError.
+but those that have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, with_field
+from .common import replacing, small_batches, with_field
 from .textfeat import _mix, powers, slices
 
 SAMPLE = 1500
@@ -168,8 +168,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred string and score double."""
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"docs have columns {sorted(clash)}")
+    docs = replacing(docs, ("lang_pred", "score"), (text_col,))
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

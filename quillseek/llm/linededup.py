@@ -15,7 +15,7 @@ a broadcast of a fixed number of rows.
 Defined cases: a null or empty text is one empty line; repeated rows of one id count as one
 document and lose the same lines; rows without an id don't count and keep their lines;
 lines shorter than the limit stay; lines may be any length; an empty table gives an empty
-result; other columns are carried along, and clashing output names raise ValueError.
+result; other columns are carried along, but those that have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, attach, discard, stored
+from .common import SPACES, ascii_lower, attach, discard, replacing, stored
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -127,8 +127,7 @@ class LineRuns:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """docs with n_lines and n_dropped (long), and kept: the text without its dropped lines."""
-    if clash := {"n_lines", "n_dropped", "kept"} & set(docs.columns):
-        raise ValueError(f"docs have columns {sorted(clash)}")
+    docs = replacing(docs, ("n_lines", "n_dropped", "kept"), (id_col, text_col))
     spark = docs.sparkSession
     ident = docs.where(F.col(id_col).isNotNull())
     keys = _keys(lines_of(ascii_lower(F.col(text_col))), least_chars)

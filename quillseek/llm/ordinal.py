@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, with_field
+from .common import replacing, small_batches, with_field
 from .textfeat import features
 
 FIT_ROWS = 4000
@@ -143,10 +143,9 @@ def fit(lists: list[np.ndarray], grades: np.ndarray, stands: np.ndarray, n_grade
 
 def scored(docs: DataFrame, model: OrdinalModel, text_col: str, names: tuple[str, str, str]) -> DataFrame:
     """docs with three doubles: expected grade, P(grade >= 1), P(highest grade)."""
+    docs = replacing(docs, names, (text_col,))
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"docs have columns {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

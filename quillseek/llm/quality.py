@@ -6,7 +6,7 @@ a text is selected if its grade is 1 or more at least SELECT probably (the tail
 Defined cases: a null or empty text has no feature and so the score of the base rate;
 without labelled rows every expected grade is 0; ratings outside 0 to 2 are left out;
 repeated rows are scored alike; an empty table gives an empty result; other columns are
-carried along, and clashing output names raise ValueError.
+carried along, but those that have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import replacing
 from .ordinal import FIT_ROWS, OrdinalModel, fit, labelled_sample, scored
 
 GRADES = 3
@@ -36,5 +37,5 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs with expected_grade (0 to 2), tail_prob = P(grade >= 1), p_best = P(grade 2) and selected."""
-    out = scored(docs, model, text_col, ("expected_grade", "tail_prob", "p_best"))
+    out = scored(replacing(docs, ("selected",), (text_col,)), model, text_col, ("expected_grade", "tail_prob", "p_best"))
     return out.withColumn("selected", F.col("tail_prob") >= SELECT)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, free_name, small_batches, stored, with_field
+from .common import attach, free_name, replacing, small_batches, stored, with_field
 from .components import connected_components
 
 SEED = 42
@@ -62,7 +62,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fp", width: int = 3) -> DataFrame:
-    """docs with a long column: the fingerprint's 64 bits, as signed."""
+    """docs with a long column: the fingerprint's 64 bits, as signed. It replaces a column of its name."""
+    docs = replacing(docs, (out,), (text_col,))
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

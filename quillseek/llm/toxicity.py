@@ -9,7 +9,7 @@ say only toxic or not. Expected severity is the sum of the tail probabilities.
 Defined cases: a null or empty text has no feature and so the score of the base rate;
 without labelled rows nothing is toxic; labels with a null id, or a grade other than 0 and 1, are
 left out; repeated rows are scored alike; an empty table gives an empty result; other
-columns are carried along, and clashing output names raise ValueError.
+columns are carried along, but those that have an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import replacing
 from .ordinal import FIT_ROWS, OrdinalModel, fit, flat, labelled_sample, scored, telling
 
 GRADES = 4
@@ -52,6 +53,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs with severity (0 to 3, expected), p_toxic, p_severe and rejected."""
-    out = scored(docs, model, text_col, ("severity", "p_toxic", "p_severe"))
+    out = scored(replacing(docs, ("rejected",), (text_col,)), model, text_col, ("severity", "p_toxic", "p_severe"))
     base = float(model.tails(np.zeros(1))[0, 0])
     return out.withColumn("rejected", F.col("p_toxic") >= max(REJECT, ABOVE_BASE * base))
