@@ -51,7 +51,10 @@ class EngineConfig:
     required_mode: str = "relational"
     default_terms_size: int = 10
     tophits_order: str = ""
+    #: Approximate distinct counts and percentiles: bounded memory for any number of values.
     approx: bool = False
+    #: Whether bucket frames come sorted; without, all buckets of a `~0` skip a global sort.
+    ordered: bool = True
     strict_scope: bool = False
     max_depth: int = 10
     field_filter: Callable[[str], bool] | None = None

@@ -295,7 +295,7 @@ class Aggregator:
     def _shown(self, out: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
         """In order, and with the fields' names for keys that stood beside their fields."""
         keys = [*[F.col(f"`{b}`").asc_nulls_last() for b in by], *order]
-        if keys and not out.isStreaming:
+        if keys and self.config.ordered and not out.isStreaming:
             out = out.orderBy(*keys)
         return out.select(*[F.col(f"`{c}`").alias(self.names.get(c, c), metadata=self.meta.get(c, {})) for c in out.columns])
 

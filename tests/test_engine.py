@@ -215,3 +215,10 @@ def test_allow_list(people):
     e = QueryEngine()
     options = e.allow_list(people)
     assert e.validate_query("AGE:1 name:x", options).is_valid and not e.validate_query("other:1", options).is_valid
+
+
+def test_unordered_and_approximate(people):
+    e = QueryEngine(ordered=False, approx=True)
+    df = e.aggregate(people, "terms:(status~0 cardinality:age percentiles:age~50)")["terms_status"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and {r.status: r.cardinality_age for r in df.collect()} == {"open": 2, "closed": 1, "held": 1}
