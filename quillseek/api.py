@@ -26,7 +26,7 @@ from .streaming import require_batch
 @dataclass
 class EngineConfig:
     mode: str = "search"
-    default_operator: Op = Op.AND
+    default_operator: Op | str = Op.AND
     default_fields: tuple[str, ...] = ()
     default_search_op: str = "starts_with"
     fulltext_fields: tuple[str, ...] = ()
@@ -103,6 +103,8 @@ class QueryEngine:
 
     def __init__(self, config: EngineConfig | None = None, catalog: FieldCatalog | None = None, **options: Any):
         self.config = replace(config or EngineConfig(), **options)
+        if isinstance(self.config.default_operator, str):
+            self.config.default_operator = Op[self.config.default_operator.upper()]
         self._catalog = catalog
         c = self.config
         mapped = hierarchical(c.field_map) if c.field_map else None

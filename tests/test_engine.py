@@ -78,6 +78,7 @@ def test_relational_mode(people):
 
 
 def test_search_mode_and_required_groups(people):
+    assert ids(QueryEngine(default_operator="or").filter(people, "status:held age:50")) == [3, 5]
     assert ids(QueryEngine(default_operator=Op.OR).filter(people, "status:held age:50")) == [3, 5]
     assert ids(QueryEngine(required_mode="search").filter(people, "+(status:open OR age:30)")) == [1]
 
