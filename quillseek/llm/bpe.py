@@ -35,7 +35,7 @@ from .common import replacing, small_batches, with_field
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 40
 #: Words whose tokens a worker remembers; the longest of them, and of those merged side by side.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 150_000, 64
 #: Words that are looked up at a time in one text.
 STRETCH = 1 << 16
 
@@ -69,12 +69,11 @@ class Coder:
         self.by_key = np.argsort(keys)
         self.keys = keys[self.by_key]
         self.merge = dict(zip(keys.tolist(), range(len(base), len(names)), strict=True))
-        self.of_bytes = {raw[t]: i for i, t in enumerate(names)}
+        self.bytes_at = [raw[t] for t in names]
+        self.of_bytes = {b: i for i, b in enumerate(self.bytes_at)}
         self.of_byte = np.array([self.of_bytes[bytes([b])] for b in range(256)], np.int64)
         self._grow_trie()
-        self.bytes_of = {int(i): raw[t] for t, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ()) if t.get("special")}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORDS)
         self.sound = np.full(len(names), -1, np.int8)
@@ -200,7 +199,7 @@ class Coder:
     def _sound(self, tokens: np.ndarray) -> np.ndarray:
         """Whether merging a token's own bytes gives the token; remembered."""
         for t in np.unique(tokens[self.sound[tokens] < 0]).tolist():
-            self.sound[t] = self.exact(self.bytes_of[int(self.id_of[t])]) == [t]
+            self.sound[t] = self.exact(self.bytes_at[t]) == [t]
         return self.sound[tokens] == 1
 
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
@@ -284,6 +283,17 @@ class Coder:
         self._forget()
         return out
 
+
+class Decoder:
+    """The bytes of each id: all that decoding needs."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letters = byte_letters()
+        self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        self.bytes_of |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", ()) if t.get("special")}
+
     def decode(self, ids: Iterable[int]) -> str:
         try:
             return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -297,6 +307,11 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the token ids of each whole text, array<int>. vocabulary: path of the JSON file on every machine."""
     docs = replacing(docs, (out,), (text_col,))
@@ -322,7 +337,7 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str
     at = docs.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary)
+        c = decoder(vocabulary)
         for b in batches:
             column = b.column(at)
             texts = [c.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in column]
