@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import replacing
-from .ordinal import FIT_ROWS, OrdinalModel, fit, flat, labelled_sample, scored, telling
+from .ordinal import OrdinalModel, fit, flat, labelled_sample, scored, telling
 
 GRADES = 4
+#: Rows of either flag that fitting reads at most; with word beginnings a row has many features.
+FIT_ROWS = 2500
 MILD, STRONG = 3, 8
 #: How much commoner a feature is in toxic texts to count as evidence.
 TELLING_RATIO = 20
