@@ -19,7 +19,7 @@ from .ordinal import FIT_ROWS, OrdinalModel, fit, labelled_sample, scored
 
 GRADES = 3
 OPTIONS = {"beginnings": False, "marks": True}
-SELECT = 0.5
+SELECT = 0.35
 #: How clearly a feature must tell low from better grades; words seldom do.
 LEAST_G = 5.5
 
