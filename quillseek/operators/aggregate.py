@@ -26,6 +26,8 @@ from .predicate import typed
 
 DEFAULT_PERCENTILES = (1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0)
 DEFAULT_INTERVAL = 50.0
+#: Rows up to which a frame of a known size is sorted as a top-k.
+TOP_ROWS = 10_000
 ROW_METRICS = ("min", "max", "avg", "sum", "stats", "exstats", "cardinality", "percentiles")
 
 
@@ -237,7 +239,8 @@ class Aggregator:
         filled = lambda f, by: fill_gaps(f, by, key, step, low, high)
         return Rows(df, rows.elements), filled, (lambda f: f.withColumn(key, to_utc(k))) if tz and kind == "calendar" else None
 
-    def _bucket(self, rows: Rows, agg: Agg, by: list[str], path: str) -> None:
+    def _bucket(self, rows: Rows, agg: Agg, by: list[str], path: str, most: int | None = 1) -> None:
+        """most: how many parent buckets there are at most, if that is known."""
         ref = self._ref(agg)
         if ref is None or ref.relations:
             self.warn(f"{agg.name}: no such field")
@@ -271,12 +274,13 @@ class Aggregator:
         elif fill and not rows.df.isStreaming:
             counts = fill(counts, by)
         order = self._order(agg, key, counts)
-        cut = False
+        cut, bound = False, most if agg.op == "missing" else None
         if agg.op == "terms":
             size = int(agg.proximity) if (agg.proximity or "").isdigit() else self.config.default_terms_size
             if size:
                 require_batch(rows.df, "terms with a size")
                 counts, cut = first_rows(counts, size, order, by), True
+                bound = most * size if most else None
         elif fill:
             require_batch(rows.df, "a bucket with filled gaps")
         survivors = rows
@@ -288,15 +292,17 @@ class Aggregator:
                 counts = same_keys(counts, self._hits(survivors, keys, a), keys, "left")
         for a in inner:
             if a.is_bucket:
-                self._bucket(survivors, a, keys, name)
+                self._bucket(survivors, a, keys, name, bound)
         out = finish(counts) if finish else counts
-        self.results[name] = self._shown(out, by, order)
+        self.results[name] = self._shown(out, by, order, bound)
 
-    def _shown(self, out: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-        """In order, and with the fields' names for keys that stood beside their fields."""
+    def _shown(self, out: DataFrame, by: list[str], order: list[Column], bound: int | None) -> DataFrame:
+        """In order, and with the fields' names for keys that stood beside their fields. With a bound on the rows, a top-k takes the global sort's place."""
         keys = [*[F.col(f"`{b}`").asc_nulls_last() for b in by], *order]
         if keys and self.config.ordered and not out.isStreaming:
             out = out.orderBy(*keys)
+            if bound is not None and by and bound <= TOP_ROWS:
+                out = out.limit(bound)
         return out.select(*[F.col(f"`{c}`").alias(self.names.get(c, c), metadata=self.meta.get(c, {})) for c in out.columns])
 
     def _order(self, agg: Agg, key: str, counts: DataFrame) -> list[Column]:

@@ -21,8 +21,16 @@ CLOCK = dt.datetime(2024, 1, 31)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_schemas: dict[tuple[str, str], T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once in an application."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def _orders_null(spark: SparkSession, d: str) -> DataFrame:
