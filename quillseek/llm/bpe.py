@@ -34,8 +34,8 @@ from .common import replacing, small_batches, with_field
 #: How byte-level vocabularies split text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 40
-#: Words whose tokens a worker remembers; the longest of them, and of those merged side by side.
-REMEMBERED, LONGEST = 150_000, 64
+#: Words whose tokens a worker remembers in each of two generations; the longest of them, and of those merged side by side.
+REMEMBERED, LONGEST = 100_000, 64
 #: Words that are looked up at a time in one text.
 STRETCH = 1 << 16
 
@@ -80,6 +80,8 @@ class Coder:
         self.sound[: len(base)] = 1
         self.known: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.long: set[str] = set()
         self.failed = self.proposed = 0
 
@@ -241,27 +243,30 @@ class Coder:
                 yield part.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _know(self, pieces: set[str]) -> None:
-        """Enter pieces and their words among the known."""
-        if new := pieces.difference(self.known):
+        """Enter pieces and their words among the known; those of the generation before are taken over."""
+        new = pieces.difference(self.known)
+        self.known.update((p, self.old[p]) for p in new if p in self.old)
+        new.difference_update(self.known)
+        if new:
             cut = {p: self.words.findall(p) for p in new}
-            self.known_words |= self.learn({w for words in cut.values() for w in words}.difference(self.known_words))
-            self.long |= {p for p in new if len(p) > LONGEST} | {w for p in new if len(p) > LONGEST for w in cut[p] if len(w) > LONGEST}
+            need = {w for words in cut.values() for w in words}.difference(self.known_words)
+            self.known_words.update((w, self.old_words[w]) for w in need if w in self.old_words)
+            self.known_words |= self.learn(need.difference(self.known_words))
+            long = [p for p in new if len(p) > LONGEST]
+            self.long |= {*long, *(w for p in long for w in cut[p] if len(w) > LONGEST)}
             word = self.known_words.__getitem__
             self.known |= {p: b"".join(map(word, words)) for p, words in cut.items()}
 
-    def _forget(self, keep: set[str] | None = None) -> None:
-        """Long pieces and words go at once, and all but `keep` when they are many."""
-        many = len(self.known) > REMEMBERED or len(self.known_words) > REMEMBERED
-        if many or self.long:
-            keep = keep or set()
-            for p in list(self.known) if many else self.long:
-                if p not in keep:
-                    self.known.pop(p, None)
-            if many:
-                self.known_words.clear()
-            for w in self.long:
-                self.known_words.pop(w, None)
-            self.long = self.long & keep
+    def _forget(self, keep: set[str] = frozenset()) -> None:
+        """Long pieces and words go at once. A full generation becomes the one before, whose own are forgotten; `keep` stays."""
+        for p in self.long - keep:
+            self.known.pop(p, None)
+            self.known_words.pop(p, None)
+        self.long &= keep
+        if len(self.known) > REMEMBERED + len(keep):
+            self.old, self.known = self.known, {p: self.known[p] for p in keep}
+        if len(self.known_words) > REMEMBERED:
+            self.old_words, self.known_words = self.known_words, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         short = {i: [*self._stretches(t)] for i, t in enumerate(texts) if t and len(t) <= STRETCH}
