@@ -35,9 +35,11 @@ from .common import replacing, small_batches, with_field
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 40
 #: Words whose tokens a worker remembers in each of two generations; the longest of them, and of those merged side by side.
-REMEMBERED, LONGEST = 100_000, 64
+REMEMBERED, LONGEST = 60_000, 64
 #: Words that are looked up at a time in one text.
 STRETCH = 1 << 16
+#: Characters of short texts whose pieces are held at a time.
+HELD = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -269,6 +271,17 @@ class Coder:
             self.old_words, self.known_words = self.known_words, {}
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, int32; some HELD characters of texts at a time."""
+        out, some, size = [], [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size >= HELD:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
         short = {i: [*self._stretches(t)] for i, t in enumerate(texts) if t and len(t) <= STRETCH}
         pieces = {p for parts in short.values() for x in parts if isinstance(x, list) for p in x}
         self._know(pieces)
@@ -317,6 +330,12 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs with the token ids of each whole text, array<int>. vocabulary: path of the JSON file on every machine."""
     docs = replacing(docs, (out,), (text_col,))
@@ -326,11 +345,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(vocabulary)
         for b in batches:
-            ids = c.encode(b.column(at).to_pylist())
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(c.encode(b.column(at).to_pylist()))], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, with_field(docs.schema, (out, T.ArrayType(T.IntegerType(), False))))
 
@@ -349,3 +364,19 @@ def bpe_decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, with_field(docs.schema, (out, T.StringType())))
+
+
+def bpe_round_trip(docs: DataFrame, vocabulary: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`bpe_encode` and `bpe_decode` in one Python worker a task instead of two: docs with the ids and the text they decode to."""
+    docs = replacing(docs, (ids, decoded), (text_col,))
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, d = coder(vocabulary), decoder(vocabulary)
+        for b in batches:
+            found = c.encode(b.column(at).to_pylist())
+            texts = pa.array([d.decode(x.tolist()) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(found), texts], names=[*b.schema.names, ids, decoded])
+
+    return docs.mapInArrow(run, with_field(docs.schema, (ids, T.ArrayType(T.IntegerType(), False)), (decoded, T.StringType())))

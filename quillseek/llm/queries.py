@@ -48,8 +48,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json", folder)
-    coded = bpe.bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text")
-    back = bpe.bpe_decode(coded, path)
+    back = bpe.bpe_round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

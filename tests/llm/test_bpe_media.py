@@ -62,6 +62,7 @@ def test_special_long_and_odd_texts(spark, odd, empty, coder, library, monkeypat
     back = bpe.bpe_decode(coded, VOCABULARY)
     assert back.columns == [*odd.columns, "ids", "decoded"]
     assert all(r.decoded == (r.text or "") for r in back.collect())
+    assert sorted(map(str, bpe.bpe_round_trip(odd, VOCABULARY).collect())) == sorted(map(str, back.collect()))
     assert bpe.bpe_decode(bpe.bpe_encode(empty, VOCABULARY), VOCABULARY).count() == 0
     clash = bpe.bpe_decode(bpe.bpe_encode(odd.withColumns({"ids": F.lit(1), "DECODED": F.lit(2)}), VOCABULARY), VOCABULARY)
     assert clash.columns == back.columns and clash.where("decoded = coalesce(text, '')").count() == odd.count()
