@@ -40,8 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
     path = vocabulary("byte_bpe_50k.json")
-    coded = bpe.bpe_encode(docs.select("doc_id", "text"), path)
-    back = bpe.bpe_decode(coded, path)
+    back = bpe.bpe_round_trip(docs.select("doc_id", "text"), path)
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
