@@ -13,8 +13,9 @@ over FINE parts of that range narrow it again, and only the few documents there
 
 Defined cases: a null text has size 0; a null source is a source, the last; a source without
 words has target 0; rows that share id and size are ranked one after the other; an empty
-table gives an empty result; the operator returns ids with their numbers, and other columns by a
-join or `replicate`.
+table gives an empty result; the operator returns ids with their numbers, and other columns by
+`replicate`, or by a join where ids are unique. `replicate` counts rows, not ids: rows with a null or
+repeated id come out as often as each is taken itself.
 """
 
 from __future__ import annotations
@@ -62,13 +63,16 @@ def _crossing(rows: DataFrame, bin_col: str, need: str) -> DataFrame:
     return cum.groupBy("skey").agg(F.coalesce(F.min(hit), F.first(last)).alias("c"), F.sum("n").alias("n")).select("skey", F.col("c.bin").alias("cut"), F.col("c.before").alias("before"), "n")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight_col: str | None = None, cycle: tuple[float, ...] = (1.0, 2.0, 3.0), seed: str = SEED, row_col: str | None = None) -> DataFrame:
     """id, source, size, source_size, target, copies (long, how often the mix takes the document) and taken (words).
 
     weight_col: a positive weight of each document within its source; null counts as 1.
+    row_col: a number of each row that is returned too, where ids don't tell rows apart.
     """
+    row = [] if row_col is None else ["row"]
     own = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0))
     rows = docs.select(
+        *[F.col(row_col).alias(r) for r in row],
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("skey"),
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     odds = (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p"))
     full = full.withColumn("rank", F.when((F.col("p") > 0) & (F.col("u") < 1), odds / (1 + odds)).otherwise(F.lit(1.0)))
     full = full.withColumn("bin", F.floor(F.col("rank") * FINE))
-    full = stored(full.select("id", "source", "skey", "size", "source_size", "target", "sure", "p", "rank", "bin"), "mix-ranked")
+    full = stored(full.select(*row, "id", "source", "skey", "size", "source_size", "target", "sure", "p", "rank", "bin"), "mix-ranked")
     surely = full.groupBy("skey").agg(F.sum(F.col("sure") * F.col("size")).alias("sure_words"), F.first("target").alias("target"), F.count(F.lit(1)).alias("n"))
     needs = surely.select("skey", (F.col("target") - F.col("sure_words")).alias("need"), "n")
     first = _crossing(attach(full.select("skey", "size", "bin"), needs, ["skey"], "n"), "bin", "need")
@@ -94,9 +98,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inner = stored(at.where("bin = cut").withColumn("fine", F.floor((F.col("rank") * FINE - F.col("bin")) * FINE)).withColumn("rest", F.col("need") - F.col("before")).drop("cut", "before", "need", "n"), "mix-range")
     second = stored(_crossing(inner, "fine", "rest"), "mix-fine")
     close = attach(inner, second, ["skey"], "n")
-    order = Window.partitionBy("skey").orderBy("rank", "id", "size")
+    order = Window.partitionBy("skey").orderBy("rank", "id", "size", *row)
     least = close.where("fine = cut").withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = ["id", "source", "size", "source_size", "target", "sure"]
+    out = [*row, "id", "source", "size", "source_size", "target", "sure"]
     takes = [
         at.where("bin <> cut").select(*out, (F.col("bin") < F.col("cut")).alias("more"), "p"),
         close.where("fine <> cut").select(*out, (F.col("fine") < F.col("cut")).alias("more"), "p"),
@@ -104,11 +108,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ]
     both = takes[0].unionByName(takes[1]).unionByName(takes[2])
     copies = F.col("sure") + F.when(F.col("more") & (F.col("p") > 0), 1).otherwise(0)
-    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return both.select(*[F.col(r).alias(row_col) for r in row], F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def replicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **more) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken. Ids are unique in docs."""
-    n, key = free_name(docs, "copies"), free_name(docs, "mix_id")
-    plan = mix(docs, id_col, text_col, source_col, **more).where("copies > 0").select(F.col(id_col).alias(key), F.col("copies").alias(n))
-    return docs.join(plan, F.col(id_col) == F.col(key)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    """The mix itself: each row of docs as often as it is taken.
+
+    Rows are numbered in a stored table, which the plan is joined with: ids may be null or repeated.
+    """
+    n, row, key = free_name(docs, "copies"), free_name(docs, "mix_row"), free_name(docs, "mix_key")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    plan = mix(rows, id_col, text_col, source_col, row_col=row, **more).where("copies > 0").select(F.col(row).alias(key), F.col("copies").alias(n))
+    return rows.join(plan, F.col(row) == F.col(key)).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

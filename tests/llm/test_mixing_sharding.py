@@ -72,6 +72,25 @@ def test_mix_odd_rows(odd, empty):
     assert {r.size for r in out.where("doc_id IN (3, 4, 5)").collect()} == {0}
 
 
+def test_replicas_of_null_and_repeated_ids(spark):
+    ids = [None, 7, *range(100, 130)]
+    rows = [(ids[i % 2] if i < 40 else ids[i - 38], "ab"[i % 5 == 0], " ".join(["w"] * (i + 1))) for i in range(70)]
+    rows += [(None, "z", "the only one"), (7, "z", "another one"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string").repartition(5)
+    key = lambda r, size: (r.doc_id, r.source, size)
+    want = {key(r, r.size): r.copies for r in mixing.mix(docs).collect() if r.copies}
+    got = Counter(key(r, len(WORD.findall(r.text))) for r in mixing.replicate(docs).collect())
+    assert {k for k in want if k[0] is None} and {k for k in want if k[0] == 7} and max(want.values()) > 1
+    assert got == Counter(want) and max(got.values()) <= 3
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(1, "a", f"w w {i}") for i in range(300)] + [(i, "b", "w w w") for i in range(2, 302)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    got = Counter(r.text for r in mixing.replicate(docs).where("source = 'a'").collect())
+    assert sum(got.values()) == mixing.mix(docs).where("source = 'a'").agg(F.sum("copies")).first()[0] and max(got.values()) <= 3
+
+
 def test_registered_queries_as_sql(spark, data):
     import duckdb
 
