@@ -285,6 +285,9 @@ def _others() -> dict[str, tuple[Query, str | None]]:
         "s_group": (lambda s, d: QueryEngine().sort(table(s, d, "part"), "-(p_size p_brand +p_partkey)").limit(50).select("p_partkey"), "SELECT p_partkey FROM part ORDER BY p_size DESC, p_brand DESC, p_partkey LIMIT 50"),
         "s_nulls": (lambda s, d: QueryEngine().sort(_orders_null(s, d), "pri -o_orderkey").limit(40).select("o_orderkey"), f"SELECT o_orderkey FROM {_ORDERS_NULL} ORDER BY pri NULLS LAST, o_orderkey DESC LIMIT 40"),
         "s_nested": (lambda s, d: QueryEngine().sort(_items(s, d), "-items.qty l_orderkey").limit(30).select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY max(l_quantity) DESC, 1 LIMIT 30"),
+        "s_group_all": (lambda s, d: QueryEngine().sort(table(s, d, "part"), "-(p_size p_brand +p_partkey)").select("p_partkey"), "SELECT p_partkey FROM part ORDER BY p_size DESC, p_brand DESC, p_partkey"),
+        "s_nulls_all": (lambda s, d: QueryEngine().sort(_orders_null(s, d), "pri -o_orderkey").select("pri", "o_orderkey"), f"SELECT pri, o_orderkey FROM {_ORDERS_NULL} ORDER BY pri NULLS LAST, o_orderkey DESC"),
+        "s_nested_all": (lambda s, d: QueryEngine().sort(_items(s, d), "-items.qty l_orderkey").select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY max(l_quantity) DESC, 1"),
         "v_invert": (_inverted, "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice >= 1000 AND o_totalprice < 200000)"),
         "v_override": (_override, "SELECT o_orderkey FROM orders WHERE NOT o_totalprice > 400000 AND o_orderstatus = 'O'"),
         "c_runtime": (_runtime, "SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::BIGINT >= 50 AND event_type IN ('click', 'view')"),

@@ -39,3 +39,11 @@ def test_same_rows_as_sql(spark, duck, name):
     df = query(spark, DATA)
     want = duck.sql(sql)
     assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize(("name", "rows"), [("s_group_all", "part"), ("s_nulls_all", "orders"), ("s_nested_all", "(SELECT DISTINCT l_orderkey FROM lineitem)")])
+def test_whole_order_as_sql(spark, duck, name, rows):
+    query, sql = engine_queries()[name]
+    got = [tuple(r) for r in query(spark, DATA).collect()]
+    assert got == duck.sql(sql).fetchall() and len(got) == duck.sql(f"SELECT count(*) FROM {rows}").fetchall()[0][0]
+    assert name != "s_nulls_all" or len({r[0] is None for r in got}) == 2
