@@ -48,6 +48,11 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
 
 
+def _counted_items(spark: SparkSession, d: str) -> DataFrame:
+    """_items with how many lines an order has, a field beside the nested ones."""
+    return _items(spark, d).withColumn("n_lines", F.size("items"))
+
+
 def _deep(spark: SparkSession, d: str) -> DataFrame:
     """Customers with an array of orders, each with an array of lines."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"))).alias("child"))
@@ -207,6 +212,7 @@ def _filters() -> dict[str, tuple[Query, str]]:
         "f_geo_distance": f(_located, 'loc:"10,20"~2500km', ["c_custkey"], f"SELECT c_custkey FROM {_LOCATED} WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(lon - 20) / 2), 2)))) <= 2500000"),
         "n_same_elem": f(_items, "items:(items.qty:>45 items.flag:R)", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'"),
         "n_coalesced": f(_items, "items.qty:>45 AND l_orderkey:<1000 AND items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' AND l_orderkey < 1000"),
+        "n_coalesced_all": f(_counted_items, "items.qty:>45 AND n_lines:>3 AND items.flag:R", ["l_orderkey"], "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3 AND bool_or(l_quantity > 45 AND l_returnflag = 'R')"),
         "n_or": f(_items, "items.qty:>49 OR items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49 OR l_returnflag = 'R'"),
         "n_neg": f(_items, "NOT items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
         "n_filter": f(_items, "items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1", nested_filter=lambda path: "items.line:1"),

@@ -47,3 +47,10 @@ def test_whole_order_as_sql(spark, duck, name, rows):
     got = [tuple(r) for r in query(spark, DATA).collect()]
     assert got == duck.sql(sql).fetchall() and len(got) == duck.sql(f"SELECT count(*) FROM {rows}").fetchall()[0][0]
     assert name != "s_nulls_all" or len({r[0] is None for r in got}) == 2
+
+
+def test_coalesced_tests_reach_all_orders(spark, duck):
+    query, _ = engine_queries()["n_coalesced_all"]
+    got = {r.l_orderkey for r in query(spark, DATA).collect()}
+    apart = duck.sql("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3 AND bool_or(l_quantity > 45) AND bool_or(l_returnflag = 'R')").fetchall()
+    assert max(got) >= 1000 and got < {k for (k,) in apart}
