@@ -28,8 +28,8 @@ MILD, STRONG = 3, 8
 #: How much commoner a feature is in toxic texts to count as evidence.
 TELLING_RATIO = 20
 OPTIONS = {"beginnings": True, "marks": False}
-#: A text is rejected if it is toxic in any grade at least this probably, and at least
-#: ABOVE_BASE times as probably as a text without any evidence; a miss costs more than a false alarm.
+#: A text is rejected if it is toxic in any grade at least this probably, and the odds of that are at least
+#: ABOVE_BASE times those of a text without any evidence; a miss costs more than a false alarm.
 REJECT, ABOVE_BASE = 0.05, 2.0
 #: How clearly a feature must tell toxic from clean rows.
 LEAST_G = 5.5
@@ -53,8 +53,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_g=LEAST_G)
 
 
+def threshold(base: float) -> float:
+    """The probability from which on texts are rejected; base is that of a text without evidence. It is under 1 if base is."""
+    return max(REJECT, ABOVE_BASE * base / (1 + (ABOVE_BASE - 1) * base))
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs with severity (0 to 3, expected), p_toxic, p_severe and rejected."""
     out = scored(replacing(docs, ("rejected",), (text_col,)), model, text_col, ("severity", "p_toxic", "p_severe"))
     base = float(model.tails(np.zeros(1))[0, 0])
-    return out.withColumn("rejected", F.col("p_toxic") >= max(REJECT, ABOVE_BASE * base))
+    return out.withColumn("rejected", F.col("p_toxic") >= threshold(base))

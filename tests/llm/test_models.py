@@ -73,6 +73,22 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
         toxicity.score_toxicity(docs.withColumnRenamed("text", "severity"), model, "severity")
 
 
+@pytest.mark.parametrize("base", [0.0, 0.01, 0.3, 0.5, 0.8, 0.99])
+def test_threshold_is_in_reach(base):
+    assert max(base, toxicity.REJECT) <= toxicity.threshold(base) < 1
+
+
+def test_toxic_heavy_labels(spark):
+    rows = [(i, f"plain words number {i % 9} of many" + (" vile wretch" if i % 10 < 3 else " kind friend" if i % 10 == 3 else ""), int(i % 10 != 3)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    base = float(model.tails(np.zeros(1))[0, 0])
+    out = toxicity.score_toxicity(docs.where("doc_id < 40"), model).collect()
+    assert base > 0.5 and not any(r.rejected for r in out if "kind" in r.text)
+    assert all(r.rejected for r in out if "vile" in r.text)
+
+
 def test_models_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     nulls = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
