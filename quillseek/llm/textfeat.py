@@ -17,6 +17,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 1 << 20
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7)
+#: Bytes of a mark that are hashed.
+MARK = 16
 
 _powers: dict[str, np.ndarray] = {}
 _word = np.zeros(256, bool)
@@ -64,7 +66,8 @@ def hashed(owners: list[int], parts: list[bytes], beginnings: bool, marks: bool)
 
     Words are runs of letters, digits and bytes from 0x80 on; with `beginnings` also how
     longer words start. Marks, if asked for, are what stands between two words, other than
-    one character, and that a word repeats the one before.
+    one character, and that a word repeats the one before. Of a mark longer than MARK bytes
+    count its first MARK bytes and the power of two of its length.
     """
     with np.errstate(over="ignore"):
         buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -89,8 +92,12 @@ def hashed(owners: list[int], parts: list[bytes], beginnings: bool, marks: bool)
         if marks and len(starts) > 1:
             inner = doc[1:] == doc[:-1]
             s, e = ends[:-1], starts[1:]
-            odd = inner & (e - s > 1) & (e - s <= 16)
-            between.append((doc[:-1][odd], span(s[odd], e[odd], 2)))
+            odd = inner & (e - s > 1)
+            s, n = s[odd], (e - s)[odd]
+            mark = span(s, s + np.minimum(n, MARK), 2)
+            long = n > MARK
+            mark[long] = _mix(mark[long] + np.log2(n[long]).astype(np.uint64) * np.uint64(BASE), 4)
+            between.append((doc[:-1][odd], mark))
             again = inner & (whole[1:] == whole[:-1])
             between.append((doc[1:][again], np.full(int(again.sum()), 0xA5A5A5A5, np.uint64)))
     return words, between

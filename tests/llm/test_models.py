@@ -32,6 +32,16 @@ def test_features_are_of_whole_texts():
     assert len(features([long], beginnings=False, wanted=wanted)[1]) == 1
 
 
+def test_long_marks_are_features():
+    def marks(run):
+        d, h = features([f"one{run}two three", "one two three"], False, True)
+        return set(h[d == 0]) - set(h[d == 1])
+
+    runs = ["-" * 16, "-" * 17, "-" * 40, "-" * 5000, "#" * 20, " #### \n" * 9]
+    assert all(len(marks(r)) == 1 for r in runs) and len(set.union(*map(marks, runs))) == len(runs)
+    assert marks("-" * 17) == marks("-" * 31) and marks("-" * 17) != marks("-" * 32)
+
+
 def test_telling_features():
     rows, hashes = np.array([0, 1, 2, 0, 1, 2, 3, 4, 5]), np.array([7, 7, 7, 9, 9, 9, 9, 9, 9], np.uint64)
     kept, a, b = telling(rows, hashes, np.array([True] * 3 + [False] * 3), 2.0)
