@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from . import bpe, exactdedup, langid, linededup, media, mixing, quality, sharding, simhash, toxicity
 from .common import documents
 
-#: Where the vocabularies lie on every machine; a parameter of the queries that need one.
-TOKENIZERS = "/opt/tokenizers"
 SHARDS = 40
 
 
-def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
-    return f"{folder}/{name}"
+def vocabulary(name: str, folder: str | None = None) -> str:
+    """The path of a vocabulary, the same on every machine: in `folder`, or else where the package public_tokenizers has it."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+def op6_bpe(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json", folder)
     back = bpe.bpe_round_trip(documents(spark, sf_dir).select("doc_id", "text"), path)
     return back.select(

@@ -1,18 +1,27 @@
 """BPE against the tokenizers library; media as an exact round trip."""
 
 import hashlib
+import itertools
+import json
 import os
+import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillseek.llm import bpe, media
-from quillseek.llm.queries import TOKENIZERS, op6_bpe, op8_media
+from quillseek.llm.queries import op6_bpe, op8_media, vocabulary
 
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+try:
+    VOCABULARY = vocabulary("byte_bpe_50k.json")
+except ImportError:
+    VOCABULARY = ""
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary")
 
 
@@ -73,10 +82,62 @@ def test_special_long_and_odd_texts(spark, odd, empty, coder, library, monkeypat
 @needs_vocabulary
 def test_speculation_is_verified(coder):
     fresh = bpe.Coder(VOCABULARY)
-    words = [" international", "unbelievable", " thththth", "inging", " reanthe", "hello"]
-    assert {w: x for w, x in fresh.learn(words).items()} == dict(zip(words, fresh.exact_all([w.encode() for w in words]), strict=True))
+    words = [w.encode() for w in [" international", "unbelievable", " thththth", "inging", " reanthe", "hello", "x" * 300, "ab" * 600]]
+    counts, tokens = fresh.exactly(*fresh._buffer(words))
+    one_by_one = [fresh.exact(w) for w in words]
+    assert counts.tolist() == [*map(len, one_by_one)] and tokens.tolist() == [t for x in one_by_one for t in x]
+    assert fresh.learn_all(words) == [fresh.id_of[x].tolist() for x in one_by_one]
     assert 0 < fresh.failed < fresh.proposed == len(words)
-    assert [fresh.id_of[fresh.exact(w.encode())].tolist() for w in words] == [[*memoryview(x).cast("i")] for x in fresh.exact_all([w.encode() for w in words])]
+
+
+#: Letters, numbers, marks, all kinds of white space, endings after an apostrophe, and characters of one to four bytes.
+PIECES = ["a", "s", "t", "re", "ve", "ll", "d", "m", "'", "''", " ", "  ", "\n", "\u3000", "\xa0", "\x1c", "\x85", "\0", "é", "1", "²", "٣", "!", "-", "😀", "中", "文", "\u0301", "’", "ß", "word"]
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), min_size=1, max_size=25).map("".join) | st.text(min_size=1, max_size=30))
+def test_words_as_the_pattern_cuts_them(text):
+    raw = text.encode()
+    starts = bpe.word_starts(np.frombuffer(raw + bpe.PAD, np.uint8), len(raw)).tolist()
+    assert [raw[i:j].decode() for i, j in itertools.pairwise([*starts, len(raw)])] == PATTERN.findall(text)
+
+
+@needs_vocabulary
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(st.sampled_from([*PIECES, "<|endoftext|>", "<|endof", "a fairly long sentence of words, "]), max_size=40).map("".join), max_size=6), stretch=st.sampled_from([5, 17, 64]))
+def test_stretches_do_not_show(coder, library, texts, stretch):
+    whole, bpe.STRETCH = bpe.STRETCH, stretch
+    try:
+        assert [x.tolist() for x in coder.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    finally:
+        bpe.STRETCH = whole
+
+
+@needs_vocabulary
+def test_long_words_and_bytes_that_are_no_text(coder, library):
+    rng = random.Random(4)
+    for n in (31, 32, 33, 255, 256, 257, 1023, 1025, 30_000):
+        word = "".join(rng.choice("etaoinshr") for _ in range(n))
+        assert coder.encode([word])[0].tolist() == library.encode(word, add_special_tokens=False).ids
+    raw = pa.array([b"ok", b"\xff\xc3(", None, b"\xf0\x9f"], pa.binary())
+    column = pa.Array.from_buffers(pa.string(), 4, raw.buffers())
+    back = bpe.decoder(VOCABULARY).decode_column(coder.encode_column(column)).to_pylist()
+    assert back == ["ok", "\ufffd\ufffd(", "", "\ufffd"]
+    half = library.encode("😀", add_special_tokens=False).ids[:1]
+    lists = pa.array([half, None, [], library.encode("a", add_special_tokens=False).ids], pa.list_(pa.int32()))
+    assert bpe.decoder(VOCABULARY).decode_column(lists).to_pylist() == [library.decode(half), "", "", "a"]
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"pre_tokenizer": None}, {"added_tokens": [{"id": 1, "content": "x", "special": False}]}])
+def test_other_vocabulary_files_are_refused(tmp_path, change):
+    with open(VOCABULARY, encoding="utf-8") as f:
+        spec = json.load(f) | change
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    for kind in (bpe.Coder, bpe.Decoder):
+        with pytest.raises(ValueError, match="byte-level"):
+            kind(str(tmp_path / "v.json"))
 
 
 def test_images_are_lossless():
