@@ -99,7 +99,7 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how:
     heavy = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__heavy"))
     found = rows.join(F.broadcast(heavy), [rows[k] == heavy[f"__h_{k}"] for k in keys], "left").drop(*[f"__h_{k}" for k in keys])
     is_heavy = F.col("__heavy").isNotNull()
-    found = found.withColumn("__spread", F.when(is_heavy, F.xxhash64(*[F.col(c) for c in rows.columns])).otherwise(F.lit(0).cast("long")))
+    found = found.withColumn("__spread", F.when(is_heavy, row_hash(rows)).otherwise(F.lit(0).cast("long")))
     # always 0, but no literal: as one, the optimizer would take it out of the join's keys
     light = groups.select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.struct(*values).alias("__light"), F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__zero"))
     on = [F.col(k) == F.col(f"__l_{k}") for k in keys] + [F.col("__spread") == F.col("__zero")]
@@ -107,13 +107,23 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how:
     both = F.coalesce("__heavy", "__light")
     if how == "inner":
         out = out.where(both.isNotNull())
-    return out.select(*[F.col(c) for c in rows.columns], *[both[v].alias(v) for v in values])
+    return out.select(*every(rows), *[both[v].alias(v) for v in values])
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row of df, but for columns of kinds that can't be hashed."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+
+
 def with_field(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in more]])
 
@@ -131,4 +141,4 @@ def replacing(df: DataFrame, made: tuple[str, ...], read: tuple[str, ...]) -> Da
     taken = {m.lower() for m in made}
     if bad := [r for r in read if r.lower() in taken]:
         raise ValueError(f"{bad} can't be both read and made")
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[c for c, name in zip(every(df), df.columns, strict=True) if name.lower() not in taken])

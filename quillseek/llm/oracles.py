@@ -15,12 +15,12 @@ _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 MIXING = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':{SEED}') AS digest
   FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source
 ), w AS (
-  SELECT source, source_size, ((k - 1) % 3 + 1)::DOUBLE AS weight, source_size * {float(MOST)}::DOUBLE AS cap FROM s
+  SELECT source, source_size, n, ((k - 1) % 3 + 1)::DOUBLE AS weight, source_size * {float(MOST)}::DOUBLE AS cap FROM s
 ), l AS (
   SELECT *, cap / weight AS ratio,
          coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
@@ -30,18 +30,24 @@ WITH d AS (
 ), c AS (
   SELECT arg_min((total - before) / rest, ratio) AS level FROM l WHERE (total - before) / rest <= ratio
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(level, 'inf'::DOUBLE) * weight) AS target FROM l, c
+  SELECT source, source_size, n, least(cap, coalesce(level, 'inf'::DOUBLE) * weight) AS target FROM w, c
 ), e AS (
-  SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
+  SELECT d.*, t.source_size, t.n, t.target, ('0x' || substr(digest, 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), p AS (SELECT *, floor(rate)::BIGINT AS sure, rate - floor(rate) AS p FROM e),
-q AS (SELECT *, CASE WHEN p > 0 AND u < 1 THEN (u / (1 - u)) * ((1 - p) / p) END AS odds FROM p),
-r AS (
-  SELECT *, coalesce(odds / (1 + odds), 1.0) AS rank, target - sum(sure * size) OVER (PARTITION BY source) AS need FROM q
+), p AS (
+  SELECT *, floor(rate)::BIGINT AS sure, rate - floor(rate) AS p FROM e
+), q AS (
+  SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u / (1 - u)) / ((p / (1 - p)) * sqrt(sqrt(size::DOUBLE * n / source_size))) END AS rank FROM p
+), r AS (
+  SELECT *, rank / (rank + (1 - p) / p) AS place, target - sum(sure * size) OVER (PARTITION BY source) AS need FROM q
+), g AS (
+  SELECT source, place, digest, sum(size) AS words, any_value(need) AS need FROM r WHERE place IS NOT NULL GROUP BY source, place, digest
 ), o AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM r
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place, digest ROWS UNBOUNDED PRECEDING) AS upto FROM g
 ), f AS (
-  SELECT *, sure + CASE WHEN p > 0 AND 2 * upto - size < 2 * need THEN 1 ELSE 0 END AS copies FROM o
+  SELECT r.*, sure + CASE WHEN 2 * upto - words < 2 * o.need THEN 1 ELSE 0 END AS copies
+  FROM r LEFT JOIN o ON r.source IS NOT DISTINCT FROM o.source AND r.place = o.place AND r.digest = o.digest
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::BIGINT AS copies FROM f
 """

@@ -84,6 +84,76 @@ def test_replicas_of_null_and_repeated_ids(spark):
     assert got == Counter(want) and max(got.values()) <= 3
 
 
+def as_sql(rows):
+    """(doc_id, source, copies, taken) of each row as the SQL of the query has them."""
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "source", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    con.sql("CREATE TABLE documents AS SELECT doc_id, source, text FROM frame")
+    return sorted(map(str, con.sql(f"SELECT doc_id, size, target, copies, taken FROM ({llm_oracles()['op2_mixing']})").fetchall()))
+
+
+def mixed(docs, **more):
+    return sorted(map(str, (tuple(r) for r in mixing.mix(docs, **more).select("doc_id", "size", "target", "copies", "taken").collect())))
+
+
+@pytest.mark.parametrize("small", [1, 40, 20_000])
+def test_ranges_are_narrowed_and_capped_sources_go_whole(spark, monkeypatch, small):
+    """A hot source, sources at their cap (rate 3, nothing to sample), equal rows, null and repeated ids."""
+    monkeypatch.setattr(mixing, "SMALL", small)
+    rng = random.Random(8)
+    rows = [(i, "hot", " ".join(["w"] * int(rng.paretovariate(0.9)))) for i in range(3000)]
+    rows += [(5000 + i % 90, f"tiny{i % 3}", "few words here") for i in range(300)] + [(None, "nulls", f"w w {i % 20}") for i in range(200)]
+    rows += [(9000 + i, "zz", None if i % 2 else "") for i in range(10)] + [(None, None, "left over")]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string").repartition(6)
+    assert mixed(docs) == as_sql(rows)
+    out = mixing.mix(docs).collect()
+    assert all(r.copies == 3 for r in out if (r.source or "").startswith("tiny"))
+    taken, target, largest = Counter(), {}, Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r.size)
+        assert r.copies <= 3
+    assert all(abs(taken[s] - t) <= largest[s] * (10 if s == "nulls" else 1) for s, t in target.items())
+    got = Counter((r.doc_id, r.source, r.text) for r in mixing.replicate(docs).collect())
+    size = {(r.doc_id, r.source, r.size): r.copies for r in out if r.source == "hot"}
+    assert sum(got.values()) == sum(r.copies for r in out)
+    assert all(n == size[i, s, len(WORD.findall(t))] for (i, s, t), n in got.items() if s == "hot")
+
+
+def test_longer_texts_are_likelier(spark):
+    rows = [(i, "ab"[i % 2], " ".join(["w"] * (400 if i % 4 < 2 else 4))) for i in range(4000)]
+    by = Counter()
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id int, source string, text string")).collect():
+        by[r.source, r.size] += r.copies
+    # source a is to take 2/3 of its words: odds of long texts are (400 / 4) ** 0.25 times those of short ones
+    long, short = by["a", 400] / 1000, by["a", 4] / 1000
+    assert long / (1 - long) / (short / (1 - short)) == pytest.approx(100**0.25, rel=0.25)
+
+
+def test_many_sources_are_joined_as_few(spark, monkeypatch):
+    rows = [(i, None if i % 41 == 0 else f"s{i % 41}", " ".join(["w"] * (i % 13))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    few = sorted(map(str, mixing.replicate(docs).collect()))
+    monkeypatch.setattr(mixing, "HEAVY_ROWS", 5)
+    assert sorted(map(str, mixing.replicate(docs).collect())) == few and mixed(docs) == as_sql(rows)
+
+
+def test_no_task_sees_all_sources_or_rows(spark, data, capsys):
+    mixing.mix(spark.read.parquet(f"{data}/documents.parquet")).explain()
+    assert "Exchange SinglePartition" not in capsys.readouterr().out
+
+
+def test_mix_with_clashing_columns(spark):
+    names = ["doc_id", "source", "text", "mix_skey", "mix_size", "copies", "n", "target", "a.b"]
+    docs = spark.createDataFrame([(i, "a", "some words", *[i] * 6) for i in range(9)], ", ".join(f"`{n}` {'string' if n in ('source', 'text') else 'int'}" for n in names))
+    out = mixing.replicate(docs)
+    assert out.columns == names and out.count() == 9 and mixing.mix(docs).count() == 9
+
+
 def test_many_rows_of_one_id(spark):
     rows = [(1, "a", f"w w {i}") for i in range(300)] + [(i, "b", "w w w") for i in range(2, 302)]
     docs = spark.createDataFrame(rows, "doc_id int, source string, text string")
