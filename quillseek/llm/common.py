@@ -49,12 +49,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete tables that `stored` wrote and nothing reads any more."""
     for frame in frames:
         if path := getattr(frame, "scratch", None):
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove_path(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,19 +1,21 @@
 """Exact dedup by two-pass Bloom filtering.
 
-Pass 1 reduces every text to a 64-bit hash; hashes met twice go into a blocked Bloom
-filter of a fixed size. Pass 2 asks the filter about every row: only rows whose hash may
-be repeated shuffle, all others pass straight through. A false answer of the filter costs
-a shuffled row, never a wrong result; equality itself is decided by SHA-256.
+Pass 1 fills a counting Bloom filter: the 64-bit hash of a text names two of its cells, and
+each row counts in them. Counts combine in the task before they travel, so a task sends at most the
+filter, and are merged by ranges of cells. What is broadcast is one bit a cell: whether two
+rows met there. Pass 2 asks it about every row: a text that is repeated finds all its cells
+met. Only rows that may be repeated shuffle, all others pass straight through. A false answer
+costs a shuffled row, never a wrong result; equality itself is decided by SHA-256.
 
-The seen-once test of pass 1 counts 8-byte hashes, combined on the map side. Filters of
-all hashes, merged task by task, would move more: a filter has the same size for every
-task, and a task of 10,000 rows needs 80 kB as hashes. Only repeated hashes enter the
-filter, which alone is broadcast.
+The filter has 16 cells for each row, at most max_blocks blocks of 4 KiB whatever the input: 16 MiB hold some 8 million rows at 1.4 % of false answers, 33 million at 15 %; beyond
+134 million three rows of four travel, and pass 2 is no more than a shuffle. Give more blocks
+where executors have room.
 
 Defined cases: null text counts as empty; equal texts are those identical after lower-casing
 A-Z; the row with the largest id stays (a null id is smaller than any other); of rows that
-also share the id, exactly one stays; an empty table gives an empty result; other columns
-are carried along under their names.
+also share the id, the one whose raw text, then whole row, has the largest hash, and of
+identical rows exactly one; an empty table gives an empty result; other columns are carried
+along, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,90 +23,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, attach, free_name, stored
-
-#: Bits of one block of the filter: what bitmap_construct_agg gathers.
-BLOCK_BITS = 32768
-#: Blocks at most: 4096 blocks of 4 KiB, a broadcast of 16 MiB whatever the input.
-MAX_BLOCKS = 4096
-#: Bits set for each hash.
-PROBES = 3
-
+from .bloom import MAX_BLOCKS, Bloom
+from .common import ascii_lower, attach, discard, every, free_name, row_hash, stored
 
 def normalised(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(h, F.lit(blocks)).cast("int")
-
-
-def _probe(h: Column, i: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(h, 13 + 15 * i), F.lit(BLOCK_BITS))
-
-
-def repeated_filter(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
-    """Pass 1: the blocked Bloom filter (block int, bits binary) of the hashes that occur twice or more."""
-    twice = hashes.groupBy(h).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bits = twice.select(_block(F.col(h), blocks).alias("block"), F.explode(F.array(*[_probe(F.col(h), i) for i in range(PROBES)])).alias("bit"))
-    return bits.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-
-
-def mark_repeated(rows: DataFrame, h: str, bloom: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """Pass 2: whether the filter may hold a row's hash. The broadcast is at most MAX_BLOCKS blocks of 4 KiB."""
-    rows = rows.withColumn("__block", _block(F.col(h), blocks))
-    bloom = bloom.select(F.col("block").alias("__b"), F.col("bits").alias("__bits"))
-    out = rows.join(F.broadcast(bloom), F.col("__block") == F.col("__b"), "left")
-
-    def is_set(i: int) -> Column:
-        bit = _probe(F.col(h), i).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        return F.call_function("getbit", byte, bit.bitwiseAND(7)) == 1
-
-    hit = F.col("__bits").isNotNull()
-    for i in range(PROBES):
-        hit = hit & is_set(i)
-    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("__block", "__b", "__bits")
-
-
-def blocks_for(rows: int) -> int:
-    """16 bits a row as long as that stays within MAX_BLOCKS."""
-    return max(1, min(MAX_BLOCKS, rows * 16 // BLOCK_BITS + 1))
-
-
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """One row for each row of docs: id, keep_id, group_size, kept, text_sha256.
 
     The text is read once: a table of hashes in the shared folder feeds both passes.
     """
-    norm = normalised(F.col(text_col))
-    base = docs.select(F.col(id_col).alias("id"), norm.alias("t")).select(
-        "id", F.xxhash64("t").alias("h"), F.sha2(F.col("t"), 256).alias("sha"), F.monotonically_increasing_id().alias("rid")
-    )
-    base = stored(base.select("id", "h", F.unhex("sha").alias("sha"), "rid"), "exact-hashes")
-    blocks = blocks_for(base.count())
-    marked = mark_repeated(base, "h", repeated_filter(base, "h", blocks), blocks, "maybe")
+    raw = docs[text_col]
+    base = docs.select(docs[id_col].alias("id"), normalised(raw).alias("t"), F.xxhash64(raw).alias("raw"), row_hash(docs).alias("row"))
+    base = base.select("id", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("sha"), "raw", "row", F.monotonically_increasing_id().alias("rid"))
+    base = stored(base, "exact-hashes")
+    marked = Bloom(base, "h", 2, max_blocks).mark(base, "h", "maybe")
     alone = marked.where(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-    some = marked.where("maybe").select("id", "sha", "rid")
-    groups = some.groupBy("sha").agg(F.max("id").alias("keep_id"), F.max_by("rid", F.struct("id", "rid")).alias("keep_rid"), F.count(F.lit(1)).alias("group_size"))
-    met = attach(some, groups, ["sha"], "group_size").select("id", "sha", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"))
+    some = marked.where("maybe").select("id", "sha", "rid", "raw", "row")
+    groups = some.groupBy("sha").agg(F.max("id").alias("keep_id"), F.max_by("rid", F.struct("id", "raw", "row", "rid")).alias("keep_rid"), F.count(F.lit(1)).alias("group_size"))
+    met = attach(some.select("id", "sha", "rid"), groups, ["sha"], "group_size").select("id", "sha", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"))
     return alone.unionByName(met).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """The rows of docs that stay, whole and with all their columns.
 
     Rows that the filter has not met pass through without a shuffle; of the others the
-    aggregate keeps each group's row of the largest id, combined before the shuffle.
+    aggregate keeps each group's best row, combined before the shuffle.
     """
-    h, key, flag = free_name(docs, "h"), free_name(docs, "key"), free_name(docs, "maybe")
-    hashes = stored(docs.select(F.xxhash64(normalised(F.col(text_col))).alias("h")), "exact-h")
-    blocks = blocks_for(hashes.count())
-    bloom = stored(repeated_filter(hashes, "h", blocks), "exact-bloom")
-    rows = docs.withColumn(h, F.xxhash64(normalised(F.col(text_col))))
-    marked = mark_repeated(rows, h, bloom, blocks, flag)
-    alone = marked.where(~F.col(flag)).select(*docs.columns)
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    some = marked.where(F.col(flag)).select(F.sha2(normalised(F.col(text_col)), 256).alias(key), F.col(id_col).alias("__id"), whole.alias("__row"))
-    best = some.groupBy(key).agg(F.max_by("__row", F.struct(F.col("__id").isNotNull(), F.col("__id"))).alias("__row"))
-    return alone.unionByName(best.select("__row.*"))
+    h, flag = free_name(docs, "exact_hash"), free_name(docs, "exact_maybe")
+    hash_of = F.xxhash64(normalised(docs[text_col]))
+    hashes = stored(docs.select(hash_of.alias("h")), "exact-hashes")
+    bloom = Bloom(hashes, "h", 2, max_blocks)
+    discard(docs.sparkSession, hashes)
+    marked = bloom.mark(docs.withColumn(h, hash_of), h, flag)
+    alone = marked.where(~F.col(flag)).select(*every(docs))
+    one = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rank = F.struct(F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`")), row_hash(docs))
+    some = marked.where(F.col(flag)).select(F.sha2(normalised(F.col(f"`{text_col}`")), 256).alias("key"), rank.alias("rank"), one.alias("one"))
+    best = some.groupBy("key").agg(F.max_by("one", "rank").alias("one"))
+    return alone.union(best.select(*[F.col(f"one.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
