@@ -8,7 +8,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillseek.llm import exactdedup, linededup, simhash
+from quillseek.llm import bloom, exactdedup, linededup, simhash
+from quillseek.llm.bloom import Bloom
 from quillseek.llm.common import attach
 from quillseek.llm.components import connected_components
 from quillseek.llm.queries import op3_simhash, op4_line_dedup, op9_exact_dedup
@@ -50,11 +51,36 @@ def test_exact_odd_rows(odd, empty):
 
 def test_filter_never_misses_a_repeat(spark):
     rows = spark.range(5000).select((F.col("id") % 4000).alias("k"), F.xxhash64(F.col("id") % 4000).alias("h"))
-    for blocks in (1, 7):
-        marked = exactdedup.mark_repeated(rows, "h", exactdedup.repeated_filter(rows, "h", blocks), blocks, "maybe")
+    for most in (1, 7):
+        marked = Bloom(rows, "h", 2, most).mark(rows, "h", "maybe")
         found = {r.k: r.maybe for r in marked.collect()}
         assert all(found[k] for k in range(1000))
-        assert sum(found[k] for k in range(1000, 4000)) < 1500
+        assert sum(found[k] for k in range(1000, 4000)) < (1500 if most == 1 else 100)
+        others = spark.range(10_000, 20_000).select(F.when(F.col("id") > 10_000, F.xxhash64("id")).alias("h"))
+        assert Bloom(rows, "h", 1, most).mark(rows, "h", "maybe").where("NOT maybe").count() == 0
+        assert Bloom(rows, "h", 1, most).mark(others, "h", "maybe").where("maybe").count() < (4000 if most == 1 else 400)
+    assert bloom.blocks_for(10**12) == bloom.MAX_BLOCKS and bloom.blocks_for(0) == 1
+
+
+def test_a_full_filter_keeps_results_right(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "BITS", 0)  # one block for 60,000 rows: most cells are met
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 50_000).cast("string")).alias("text"))
+    report = exactdedup.dedup_report(docs).groupBy("group_size", "kept").count().collect()
+    assert {(r.group_size, r.kept): r["count"] for r in report} == {(1, True): 40_000, (2, True): 10_000, (2, False): 10_000}
+    kept = exactdedup.exact_dedup(docs)
+    assert kept.count() == 50_000 and kept.where("doc_id < 10000").count() == 0
+
+
+def test_exact_with_clashing_columns_and_ties(spark):
+    names = ["doc_id", "text", "__block", "__b", "__id", "exact_hash", "exact_maybe", "bloom0", "rid", "h", "sha", "raw", "a.b", "m"]
+    rows = [(i % 7, ["Same", "same", "SAME", None, "other"][i % 5], *[i % 2] * 11, {"k": i % 2}) for i in range(60)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'string' if n == 'text' else 'map<string, int>' if n == 'm' else 'int'}" for n in names))
+    kept = exactdedup.exact_dedup(docs)
+    assert kept.columns == names
+    one, two = (sorted(map(str, exactdedup.exact_dedup(d).drop("m").collect())) for d in (docs, docs.repartition(5)))
+    assert one == two and len(one) == 3 and all("doc_id=6" in r for r in one)
+    report = exactdedup.dedup_report(docs).collect()
+    assert len(report) == 60 and sum(r.kept for r in report) == 3 and {r.keep_id for r in report} == {6}
 
 
 def test_attach_with_heavy_keys(spark, monkeypatch):
@@ -177,6 +203,37 @@ def test_lines_for_any_batches(spark, odd, batches, fanout):
 def test_lines_of_nothing_and_clashes(odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
     assert linededup.dedup_lines(odd.withColumn("Kept", F.lit(1))).columns == [*odd.columns, "n_lines", "n_dropped", "kept"]
+    more = {n: F.lit(1) for n in ("__drops", "__id", "line_id", "line_text", "line_maybe", "bloom0", "drops", "id", "h1", "n", "a.b")}
+    wide = linededup.dedup_lines(odd.withColumns(more))
+    assert wide.columns == [*odd.columns, *more, "n_lines", "n_dropped", "kept"]
+    plain = linededup.dedup_lines(odd)
+    assert sorted(map(str, wide.drop(*more).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_a_text_of_many_lines_that_go(spark):
+    """Lines of one text are told apart by their numbers: 60,000 lines, half of which go, take no time that grows with the square."""
+    one = "\n".join(f"a line that is long enough, number {i // 2 * 2}" if i % 2 else f"own line number {i} of this long text" for i in range(60_000))
+    docs = spark.createDataFrame([(1, one), (2, one), (3, one), (None, one)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in linededup.dedup_lines(docs).collect()}
+    want = {i: (n, d, t) for i, n, d, t in brute_lines([(1, one), (2, one), (3, one), (None, one)])}
+    assert got == want and got[1][1] == 60_000 and got[3][1] == 0
+
+
+def test_nothing_is_left_behind(spark, odd, monkeypatch):
+    """Runs and tables of lines go, also after a failure."""
+    import os
+
+    def tables():
+        found = {t.name for t in spark.catalog.listTables()}
+        shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/quillseek"
+        return {t for t in found if t.startswith("line_run")}, {f for f in os.listdir(shared) if f.startswith(("line-run", "line-hashes", "line-again", "line-frequent", "line-batch"))}
+
+    linededup.dedup_lines(odd).collect()
+    assert tables() == (set(), set())
+    monkeypatch.setattr(linededup.LineRuns, "frequent", lambda self, n: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        linededup.dedup_lines(odd)
+    assert tables() == (set(), set())
 
 
 def test_runs_hold_each_hash_once(spark):
