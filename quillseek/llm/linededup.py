@@ -35,6 +35,7 @@ LEAST_CHARS = 20
 LEAST_DOCS = 3
 BATCHES = 3
 FANOUT = 2
+#: 96 bits: by chance, equal for none of 10**12 lines.
 KEY = ["h1", "h2"]
 
 
@@ -46,15 +47,13 @@ def line_key(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACES))
 
 
-def _hash(key: Column) -> Column:
-    """96 bits: by chance, equal for none of 10**12 lines."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.hash(F.lit(7), key).alias("h2"))
-
-
-def _keys(lines: Column, least_chars: int) -> Column:
-    """(pos, h1, h2) of an array of lower-cased lines, for long enough keys."""
-    keys = F.transform(lines, lambda line, at: F.struct(at.alias("pos"), line_key(line).alias("key")))
-    return F.transform(F.filter(keys, lambda k: F.char_length(k["key"]) >= least_chars), lambda k: F.struct(k["pos"].alias("pos"), *[_hash(k["key"])[h].alias(h) for h in KEY]))
+def hashed_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int) -> DataFrame:
+    """(id, text, pos, h1, h2) of the lines with long enough keys; text is a hash of the whole."""
+    text = F.col(f"`{text_col}`")
+    texts = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"), lines_of(ascii_lower(text)).alias("lines"))
+    # outer: else Spark splits each text a second time to see whether it has lines
+    keys = texts.select("id", "text", F.posexplode_outer("lines").alias("pos", "line")).select("id", "text", "pos", line_key(F.col("line")).alias("key"))
+    return keys.where(F.char_length("key") >= least_chars).select("id", "text", "pos", F.xxhash64("key").alias("h1"), F.hash(F.lit(7), "key").alias("h2"))
 
 
 class LineRuns:
@@ -143,10 +142,7 @@ def _filled(masks: Column) -> Column:
 def drops_of(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int, batches: int, fanout: int) -> DataFrame:
     """(id, text, gone, bits, n) of the texts that lose lines: their hash, how many lines go, and a bit for each line up to the last of them. Stored."""
     spark = docs.sparkSession
-    text = F.col(f"`{text_col}`")
-    ident = docs.where(F.col(f"`{id_col}`").isNotNull())
-    texts = ident.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text"), _keys(lines_of(ascii_lower(text)), least_chars).alias("keys"))
-    lines = stored(texts.select("id", "text", F.inline("keys")), "line-hashes")
+    lines = stored(hashed_lines(docs, id_col, text_col, least_chars), "line-hashes")
     runs, frequent = LineRuns(spark, fanout), None
     try:
         for i in range(batches):
