@@ -7,7 +7,8 @@ the variants are shuffled and equal ones meet. Work is done in two rounds:
 1. On the 32-bit halves. One half of a linked pair differs by at most one bit, half the
    radius rounded down. Every fingerprint emits its two halves and their 64 one-bit
    variants; a semi-join on the variants keeps a fingerprint if a colliding one verifies at
-   distance 3 or less. It returns each fingerprint at most once a variant, never pairs.
+   distance 3 or less. It returns each fingerprint at most once a variant, never pairs. Of the
+   HEAVY_ROWS commonest halves, those of over COMMON fingerprints are split by the quarters of the other half.
 2. On the whole 64 bits, for the linked fingerprints alone. Even ones (by parity) emit all
    variants within 2 bits, odd ones those at exactly 1 bit; at distance 1 and 3 the parities
    differ, at distance 2 both reach a point 1 bit away. At a variant at most 2,081 different
@@ -20,7 +21,8 @@ The components of the stars are the components of the full graph of links.
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and
 is linked like any other; fewer than three words are one shingle; copies share a
 fingerprint and so a component; very long texts are hashed in slices of SLICE shingles;
-repeated ids count as one document; an empty table gives an empty result.
+rows that share an id are each linked by their own text; a row without an id is linked, but has
+no id to give to its component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,13 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import attach, free_name, replacing, small_batches, stored, with_field
+from .bloom import Bloom
+from .common import HEAVY_ROWS, attach, every, free_name, replacing, small_batches, stored, with_field
 from .components import connected_components
 
 SEED = 42
 RADIUS = 3
 #: Shingles whose bits are counted at a time.
 SLICE = 1 << 16
+#: Fingerprints with a common half from which on it is looked at in quarters.
+COMMON = 1000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -91,8 +96,26 @@ def linked(fps: DataFrame) -> DataFrame:
         return F.concat(F.array(half), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half.bitwiseXOR(F.call_function("shiftleft", one, i))))
 
     variants = fps.select("fp", F.explode(F.concat(ball(left), F.transform(ball(right), lambda x: x + top))).alias("key"))
+    common = stored(centres.groupBy("ckey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).orderBy(F.desc("n"), "ckey").limit(HEAVY_ROWS).select(F.col("ckey").alias("heavy")), "simhash-common")
+    if common.count():
+        # the other half of a linked pair differs by at most 3 bits, so one of its quarters by at most 1
+        variants, centres = (_quartered(rows, fp, key, common, flips) for rows, fp, key, flips in ((variants, "fp", "key", True), (centres, "other", "ckey", False)))
+        same = (F.col("key") == F.col("ckey")) & (F.col("key_part") == F.col("ckey_part"))
+    else:
+        same = F.col("key") == F.col("ckey")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS
-    return variants.join(centres, (F.col("key") == F.col("ckey")) & (F.col("fp") != F.col("other")) & near, "left_semi").select("fp").distinct()
+    return variants.join(centres, same & (F.col("fp") != F.col("other")) & near, "left_semi").select("fp").distinct()
+
+
+def _quartered(rows: DataFrame, fp: str, key: str, common: DataFrame, flips: bool) -> DataFrame:
+    """rows with key_part: for a common half, the quarters of the other half (with `flips` also their one-bit variants), else 0."""
+    one, of_left = F.lit(1).cast("long"), F.col(key) < F.lit(1 << 32)
+    other = F.when(of_left, F.col(fp).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(fp, 32))
+    parts = []
+    for mark, quarter in ((1, other.bitwiseAND(F.lit(0xFFFF))), (2, F.shiftrightunsigned(other, 16))):
+        parts += [F.lit(mark << 16) + (quarter.bitwiseXOR(F.call_function("shiftleft", one, F.lit(i))) if i >= 0 else quarter) for i in range(-1, 16 if flips else 0)]
+    found = rows.join(F.broadcast(common), F.col(key) == F.col("heavy"), "left")
+    return found.select(fp, key, F.explode(F.when(F.col("heavy").isNotNull(), F.array(*parts)).otherwise(F.array(F.lit(0).cast("long")))).alias(f"{key}_part"))
 
 
 def star_edges(fps: DataFrame) -> DataFrame:
@@ -108,29 +131,38 @@ def star_edges(fps: DataFrame) -> DataFrame:
 
 
 def near_components(rows: DataFrame) -> DataFrame:
-    """rows (id, fp) -> (id, fp, component_id): the smallest id reachable over links."""
+    """rows (id, fp, ...) with component_id: the smallest id reachable over links."""
     per = stored(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-fps")
     near = stored(linked(per.select("fp")), "simhash-linked")
     roots = connected_components(star_edges(near.repartition("fp")))
     member = per.join(roots, per.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     member = stored(member, "simhash-roots")
-    smallest = member.where("root <> fp").groupBy("root").agg(F.min("least").alias("below")).select(F.col("root").alias("r"), "below")
-    heads = member.where("root = fp").join(smallest, F.col("root") == F.col("r"), "left").select(F.col("root").alias("r"), F.least("least", "below").alias("component_id"))
-    found = member.join(heads, F.col("root") == F.col("r")).select("fp", "component_id", "n")
-    return attach(rows, found, ["fp"], "n").select("id", "fp", "component_id")
+    smallest = member.where("root <> fp").groupBy("root").agg(F.min("least").alias("below"), F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "r")
+    heads = member.where("root = fp").join(smallest, F.col("root") == F.col("r"), "left").select("root", F.least("least", "below").alias("component_id"), F.coalesce("size", F.lit(0)).alias("size"))
+    found = attach(member.select("fp", "n", "root"), heads, ["root"], "size").select("fp", "component_id", "n")
+    return attach(rows, found, ["fp"], "n").drop("n")
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp, component_id) for every row of docs, each text whole."""
-    rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", width)
-    return near_components(stored(rows.select("id", "fp"), "simhash-rows"))
+    """(id, text_hash, fp, component_id) for every row of docs, each text whole."""
+    text = F.col(f"`{text_col}`")
+    rows = with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash")), "text", "fp", width)
+    return near_components(stored(rows.select("id", "text_hash", "fp"), "simhash-rows"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """docs without near copies: of each component the row of the smallest id stays, whole.
 
-    Only ids of dropped rows travel. Rows without an id stay.
+    A row goes if its component has a smaller id than its own; rows that share id and text stay or go
+    together, and rows without an id stay. A Bloom filter of a bounded size tells which rows may
+    go: only those shuffle.
     """
-    drop = near_dups(docs, id_col, text_col, width).where("component_id <> id").select(F.col("id").alias(gone := free_name(docs, "gone")))
-    drop = stored(drop.distinct(), "simhash-drop")
-    return docs.join(drop, F.col(id_col) == F.col(gone), "left_anti")
+    drop = near_dups(docs, id_col, text_col, width).where("component_id <> id").select("id", "text_hash").distinct()
+    names = {c: free_name(docs, f"near_{c}") for c in ("id", "text", "both", "maybe")}
+    drop = stored(drop.select(F.col("id").alias(names["id"]), F.col("text_hash").alias(names["text"])), "simhash-drop")
+    both = F.xxhash64(F.col(names["id"]), F.col(names["text"]))
+    ident, text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    marked = Bloom(drop.select(both.alias("h")), "h").mark(docs.withColumn(names["both"], F.xxhash64(ident, text)), names["both"], names["maybe"])
+    alone = marked.where(~F.col(names["maybe"])).select(*every(docs))
+    some = marked.where(F.col(names["maybe"])).join(drop, (ident == F.col(names["id"])) & (text == F.col(names["text"])), "left_anti")
+    return alone.unionByName(some.select(*every(docs)))

@@ -153,6 +153,30 @@ def test_planted_fingerprints(spark):
     assert got == brute_components(fps)
 
 
+@pytest.mark.parametrize("common", [1, 20, 1000])
+def test_common_halves_are_split(spark, monkeypatch, common):
+    """Many fingerprints with one half in common, some linked over the other half or over both."""
+    monkeypatch.setattr(simhash, "COMMON", common)
+    rng = np.random.default_rng(9)
+    fps = [(0xABCD1234 << 32) + int(x) for x in rng.integers(0, 1 << 32, 150)] + [(int(x) << 32) + 0x5555AAAA for x in rng.integers(0, 1 << 31, 150)]
+    for x in fps[::4]:
+        for flips in (1, 2, 3, 4):
+            y = x
+            for b in rng.choice(64, flips, replace=False):
+                y ^= 1 << int(b)
+            fps.append(y)
+    rows = {i: x for i, x in enumerate(fps)}
+    got = simhash.near_components(spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in rows.items()], "id bigint, fp bigint")).collect()
+    assert {r.id: r.component_id for r in got} == brute_components(rows)
+
+
+def test_near_rows_go_by_id_and_text(spark):
+    rows = [(5, "one two three four five"), (2, "ONE two three four five"), (2, "something else entirely, only here"), (None, "one two three four five"), (9, None), (9, None), (7, "")]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id int, text string").withColumns({"near_id": F.lit(1), "near_both": F.lit(2), "a.b": F.lit(3)}))
+    assert kept.columns == ["doc_id", "text", "near_id", "near_both", "a.b"]
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("2", "ONE two three four five"), ("2", "something else entirely, only here"), ("None", "one two three four five"), ("7", "")])
+
+
 def test_near_odd_rows(odd, empty):
     got = simhash.near_dups(odd.where("doc_id IS NOT NULL")).collect()
     by = {r.id: r for r in got}
