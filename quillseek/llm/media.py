@@ -5,9 +5,11 @@ a shared folder; PNG compresses losslessly, so equal payloads have equal files.
 has at most ARCHIVE_BYTES or ARCHIVE_MEMBERS. Archives count once the task that wrote them has
 reported them in the manifest, so a lost or repeated task leaves none twice.
 
-The data source `media_archive` plans byte ranges over the archives of a manifest: a partition
-is one range of one archive, and holds the members that begin in it. It reads the archive's
-directory, then each member by its offset; a member whose bytes can't be read or don't match
+The manifest is dealt into PARTS parts by the archives' names. The data source `media_archive`
+plans byte ranges over the parts, or over a folder of archives: a partition is one range of the bytes that a part's
+archives have one after the other, and holds the members that begin in it. So the driver sees a
+sum for each part, and a range finds its archives itself. It reads their directories, then
+each member by its offset; a member whose bytes can't be read or don't match
 their checksum is read again, up to `retries` times, without its neighbours. Members stream to Spark as Arrow batches of
 at most BATCH_BYTES. With `on_error` = `null` a member that stays bad gives a row with a null
 payload and the error; else it fails the task.
@@ -30,16 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import scratch_path, small_batches, stored
+from .common import scratch_path, small_batches
 
 WIDTH = 64
 ARCHIVE_BYTES, ARCHIVE_MEMBERS = 32 << 20, 20_000
-RANGE_BYTES = 8 << 20
+#: Bytes of a range, and how many ranges there are at most: ranges get longer beyond.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
+#: Parts of a manifest.
+PARTS = 256
 BATCH_BYTES, BATCH_MEMBERS = 4 << 20, 1000
 RETRIES = 3
 #: Fixed values of the PNG and ZIP formats.
@@ -95,7 +101,7 @@ def unpng(image: bytes) -> bytes:
 
 
 def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all payloads to archives under path; the manifest (archive, bytes, members), stored. A row for each archive."""
+    """Write all payloads to archives under path; the manifest (archive, bytes, members, part), stored by parts. A row for each archive."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,33 +131,50 @@ def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["archive", "bytes", "members"])
 
-    return stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "archive string, bytes bigint, members bigint"), "media-manifest")
+    found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "archive string, bytes bigint, members bigint")
+    where = scratch_path(docs.sparkSession, "media-manifest")
+    found.withColumn("part", F.pmod(F.xxhash64("archive"), F.lit(PARTS)).cast("int")).write.partitionBy("part").parquet(where)
+    out = docs.sparkSession.read.schema("archive string, bytes bigint, members bigint, part int").parquet(where)
+    out.scratch = where
+    return out
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, begin: int, end: int):
-        self.archive, self.begin, self.end = archive, begin, end
+    """Bytes from begin to end of the archives of a part (-1: of a folder), one after the other."""
 
+    def __init__(self, part: int, begin: int, end: int):
+        self.part, self.begin, self.end = part, begin, end
 
-def plan_ranges(archives: list[tuple[str, int]], size: int) -> list[ByteRange]:
-    return [ByteRange(a, at, min(at + size, n)) for a, n in archives for at in range(0, n, size)]
+
+def plan_ranges(parts: list[tuple[int, int]], size: int) -> list[ByteRange]:
+    size = max(size, -(-sum(n for _, n in parts) // MOST_RANGES))
+    return [ByteRange(p, at, min(at + size, n)) for p, n in parts for at in range(0, n, size)]
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.archives = json.loads(options.get("archives", "null"))
+        self.manifest = options.get("manifest")
+        self.parts = json.loads(options.get("parts", "null"))
         self.range = int(options.get("range_bytes", RANGE_BYTES))
         self.retries = int(options.get("retries", RETRIES))
         self.null = options.get("on_error", "fail") == "null"
 
-    def partitions(self) -> list[ByteRange]:
-        archives = self.archives
-        if archives is None:
+    def archives(self, part: int) -> list[tuple[str, int]]:
+        """(archive, bytes) of a part of the manifest, or of the folder, in order."""
+        if part < 0:
             fs, base = opened(self.path)
-            found = fs.get_file_info(pafs.FileSelector(base))
-            archives = sorted((f.base_name, f.size) for f in found if f.base_name.endswith(".zip"))
-        return plan_ranges(archives, self.range) or [ByteRange("", 0, 0)]
+            return sorted((f.base_name, f.size) for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".zip"))
+        fs, base = opened(f"{self.manifest}/part={part}")
+        files = [f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.base_name.endswith(".parquet")]
+        tables = [pq.read_table(f, columns=["archive", "bytes"], filesystem=fs, partitioning=None) for f in files]
+        return sorted((r["archive"], r["bytes"]) for t in tables for r in t.to_pylist())
+
+    def partitions(self) -> list[ByteRange]:
+        parts = self.parts
+        if parts is None:
+            parts = [(-1, sum(n for _, n in self.archives(-1)))]
+        return plan_ranges(parts, self.range) or [ByteRange(-1, 0, 0)]
 
     def member(self, f: pa.NativeFile, info: zipfile.ZipInfo) -> tuple[bytes, bytes]:
         """(image, payload) of one member, by its offset."""
@@ -165,13 +188,26 @@ class ArchiveReader(DataSourceReader):
         return image, unpng(image)
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+        rows, size, first = [], 0, 0
+        for archive, n in self.archives(partition.part) if partition.end > partition.begin else ():
+            begin, end, first = partition.begin - first, partition.end - first, first + n
+            if end <= 0 or begin >= n:
+                continue
+            for row in self.members(archive, begin, end):
+                rows.append(row)
+                size += len(row[3] or b"")
+                if size >= BATCH_BYTES or len(rows) >= BATCH_MEMBERS:
+                    yield self.batch(rows)
+                    rows, size = [], 0
+        if rows:
+            yield self.batch(rows)
+
+    def members(self, archive: str, begin: int, end: int) -> Iterator[tuple]:
+        """A row for each member of an archive that begins there."""
         fs, base = opened(self.path)
-        where = f"{base}/{partition.archive}"
+        where = f"{base}/{archive}"
         with fs.open_input_file(where) as f:
-            infos = [i for i in zipfile.ZipFile(f).infolist() if partition.begin <= i.header_offset < partition.end]
-        rows, size = [], 0
+            infos = [i for i in zipfile.ZipFile(f).infolist() if begin <= i.header_offset < end]
         f = fs.open_input_file(where)
         try:
             for info in infos:
@@ -182,20 +218,14 @@ class ArchiveReader(DataSourceReader):
                         error = None
                         break
                     except (OSError, ValueError, zlib.error) as e:
-                        error = f"{partition.archive} at {info.header_offset}: {e}"
+                        error = f"{archive} at {info.header_offset}: {e}"
                         time.sleep(0.05 * attempt)
                         f.close()
                         f = fs.open_input_file(where)
                 if error and not self.null:
                     raise OSError(error)
                 _, key, n = info.filename.removesuffix(".png").split("_")
-                rows.append((None if key == "null" else int(key), int(n), info.filename, payload, len(image) if image else None, hashlib.sha256(image).hexdigest() if image else None, error))
-                size += len(payload or b"")
-                if size >= BATCH_BYTES or len(rows) >= BATCH_MEMBERS:
-                    yield self.batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield self.batch(rows)
+                yield None if key == "null" else int(key), int(n), info.filename, payload, len(image) if image else None, hashlib.sha256(image).hexdigest() if image else None, error
         finally:
             f.close()
 
@@ -206,7 +236,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaArchiveSource(DataSource):
-    """spark.read.format("media_archive").load(folder); options range_bytes, retries, on_error, archives."""
+    """spark.read.format("media_archive").load(folder); options range_bytes, retries, on_error, and manifest and parts as `read_media` sets them."""
 
     @classmethod
     def name(cls) -> str:
@@ -220,12 +250,13 @@ class MediaArchiveSource(DataSource):
 
 
 def read_media(spark: SparkSession, path: str, manifest: DataFrame | None = None, **options) -> DataFrame:
-    """All members under path; with a manifest only those of its archives (a name and a size for each goes to the driver, one for some 32 MB)."""
+    """All members under path; with a manifest only those of its archives (the driver gets a sum for each part)."""
     small_batches(spark)
     spark.dataSource.register(MediaArchiveSource)
     reader = spark.read.format("media_archive").options(**options)
     if manifest is not None:
-        reader = reader.option("archives", json.dumps([[r["archive"], r["bytes"]] for r in manifest.orderBy("archive").collect()]))
+        parts = manifest.groupBy("part").agg(F.sum("bytes").alias("bytes")).orderBy("part").collect()
+        reader = reader.option("manifest", manifest.scratch).option("parts", json.dumps([[r["part"], r["bytes"]] for r in parts]))
     return reader.load(path)
 
 

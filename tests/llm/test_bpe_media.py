@@ -170,8 +170,9 @@ def test_ranges_members_and_retries(spark, odd, empty, tmp_path, monkeypatch):
         rows = media.read_media(spark, f"file://{folder}", manifest, range_bytes=size)
         assert sorted(str((r.doc_id, bytes(r.payload))) for r in rows.collect()) == sorted(str((r.doc_id, media.payload_of(r.text)[0])) for r in odd.collect())
     assert media.read_media(spark, folder).count() == odd.count()
-    ranges = media.plan_ranges([("x", 25), ("y", 0)], 10)
-    assert [(r.begin, r.end) for r in ranges] == [(0, 10), (10, 20), (20, 25)]
+    ranges = media.plan_ranges([(3, 25), (4, 0)], 10)
+    assert [(r.part, r.begin, r.end) for r in ranges] == [(3, 0, 10), (3, 10, 20), (3, 20, 25)]
+    assert len(media.plan_ranges([(k, 10**15) for k in range(100)], 1)) <= media.MOST_RANGES + 100
     archive = next(r.archive for r in manifest.orderBy("archive").collect() if r.bytes > 300)
     with open(f"{folder}/{archive}", "r+b") as f:
         f.seek(100)
@@ -183,6 +184,16 @@ def test_ranges_members_and_retries(spark, odd, empty, tmp_path, monkeypatch):
     assert media.media_columns(empty, str(tmp_path / "e")).count() == 0
 
 
+def test_another_decoder_reads_the_images(spark):
+    """Java's ImageIO sees the samples that went in."""
+    jvm = spark._jvm
+    for text in (None, "short", "é😀" * 500, "x" * 10_000, "\0\1\xff" * 77):
+        payload, _ = media.payload_of(text)
+        raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(media.png(payload))).getRaster()
+        assert (raster.getWidth(), raster.getHeight(), raster.getNumBands()) == (64, len(payload) // 64, 1)
+        assert bytes(raster.getDataBuffer().getData()) == payload
+
+
 def test_a_member_is_retried_alone(tmp_path, spark, odd):
     folder = str(tmp_path / "r")
     manifest = media.store_media(odd, folder)
