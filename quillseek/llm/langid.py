@@ -5,8 +5,9 @@ adds the mean log frequency of its character 4-grams that the model knows; if th
 of its 3-grams, then 2-grams, then letters. The language with the largest sum wins; the
 score is its softmax share.
 
-Fitting reads a sample: of each language about SAMPLE texts (all, if it has fewer), chosen by
-a hash of the id, each up to FIT_CHARS characters long; texts that are longer don't teach.
+Fitting reads a sample: of each language about `sample` texts (all, if it has fewer), chosen by
+a hash of the id, whole. A model keeps at most `words_kept` words and `grams_kept` n-grams of each
+length, the commonest; of words those that come `least_words` times at least. All four are parameters.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the
 smaller language name; a model without languages says `und`; rows without language or
@@ -25,14 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import replacing, small_batches, with_field
+from .common import discard, replacing, small_batches, stored, with_field
 from .textfeat import _mix, powers, slices
 
 SAMPLE = 1500
-FIT_CHARS = 200_000
 LONGEST = 4
-#: Words and n-grams that a model keeps at most, the commonest.
-WORDS_KEPT, GRAMS_KEPT = 60_000, 60_000
+WORDS_KEPT, GRAMS_KEPT, LEAST_WORDS = 60_000, 60_000, 2
 SMOOTH = 0.1
 UND = "und"
 
@@ -137,7 +136,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], names=["lang", "n", "h", "c"])
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words_kept: int = WORDS_KEPT, grams_kept: int = GRAMS_KEPT, least_words: int = LEAST_WORDS) -> LanguageModel:
     """A model from the labelled rows of docs. The driver gets one row for each language, and the kept words and n-grams."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     per = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
@@ -145,16 +144,17 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not languages:
         return LanguageModel([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0), np.float32)) for n in range(LONGEST + 1)})
     rate = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / per[k]))])[F.col("lang")]
-    picked = rows.where((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000) & (F.char_length("text") <= FIT_CHARS))
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate * 1_000_000)
     small_batches(docs.sparkSession)
     counts = picked.select("text", "lang").mapInArrow(_counts, "lang string, n int, h bigint, c bigint").groupBy("n", "h").agg(*[F.sum(F.when(F.col("lang") == k, F.col("c")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(languages)])
     all_of = sum((F.col(f"c{i}") for i in range(1, len(languages))), F.col("c0"))
-    counts = counts.withColumn("total", all_of)
-    kept = [counts.where(F.col("n") == n).orderBy(F.desc("total"), "h").limit(GRAMS_KEPT if n else WORDS_KEPT) for n in range(LONGEST + 1)]
-    union = kept[0].where("total > 1")
+    counts = stored(counts.withColumn("total", all_of), "language-counts")
+    kept = [counts.where((F.col("n") == n) & (F.col("total") >= (1 if n else least_words))).orderBy(F.desc("total"), "h").limit(grams_kept if n else words_kept) for n in range(LONGEST + 1)]
+    union = kept[0]
     for k in kept[1:]:
         union = union.unionByName(k)
     table = union.toArrow()
+    discard(docs.sparkSession, counts)
     n_of, h = table.column("n").to_numpy(), table.column("h").to_numpy().view(np.uint64)
     c = np.stack([table.column(f"c{i}").to_numpy() for i in range(len(languages))], 1) if len(h) else np.zeros((0, len(languages)))
     tables = {}

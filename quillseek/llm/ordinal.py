@@ -4,9 +4,11 @@ P(grade <= k) = logistic(threshold_k - score): one weight vector for all grades,
 ordered thresholds. A model is a few thousand hashes with weights; texts are scored whole,
 in numpy over Arrow batches.
 
-Fitting uses a bounded sample of labelled rows: at most FIT_ROWS rows of each grade, those
-of the smallest xxhash64 of their id, with texts of at most FIT_CHARS characters. Rows of a
-grade are weighted back to the grade's share of all labelled rows.
+Fitting uses a bounded sample of labelled rows: at most fit_rows (a parameter) labels of each
+grade, those of the smallest xxhash64 of their id, with their whole texts. Of documents that share an
+id, one teaches: that of the smallest xxhash64 of its text. Rows of a grade are weighted back to
+the grade's share of all labelled rows. A model keeps at most `kept` features (a parameter), those
+that tell the grades apart most.
 """
 
 from __future__ import annotations
@@ -23,10 +25,8 @@ from pyspark.sql import types as T
 from .common import replacing, small_batches, with_field
 from .textfeat import features
 
-FIT_ROWS = 4000
-FIT_CHARS = 200_000
-#: Features that a model keeps at most: those that tell the grades apart most.
-KEPT = 20_000
+#: Labels of each grade that teach at most, and features that a model keeps at most, unless parameters say otherwise.
+FIT_ROWS, KEPT = 4000, 20_000
 
 
 @dataclass
@@ -75,7 +75,7 @@ def fit_cumulative_link(rows: np.ndarray, cols: np.ndarray, grades: np.ndarray,
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def telling(rows: np.ndarray, hashes: np.ndarray, high: np.ndarray, least_g: float, least_docs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def telling(rows: np.ndarray, hashes: np.ndarray, high: np.ndarray, least_g: float, least_docs: int = 3, most: int = KEPT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, counts among high rows, counts among the others), sorted by hash: features whose share differs between the two.
 
     The measure is the root of the likelihood ratio statistic, which also holds for few rows.
@@ -91,22 +91,24 @@ def telling(rows: np.ndarray, hashes: np.ndarray, high: np.ndarray, least_g: flo
     share = (a + b) / max(1, na + nb)
     g = np.sqrt(np.maximum(2 * (part(a, share * na) + part(b, share * nb) + part(na - a, (1 - share) * na) + part(nb - b, (1 - share) * nb)), 0))
     keep = np.flatnonzero((g >= least_g) & (a + b >= least_docs))
-    keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[:KEPT]])
+    keep = np.sort(keep[np.argsort(-g[keep], kind="stable")[:most]])
     return known[keep], a[keep], b[keep]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, n_grades: int, fit_rows: int, options: dict) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of each sampled text, its grade, and how many labelled rows each sampled row stands for."""
+    """Hashes of each sampled text, its grade, and how many labelled rows each sampled row stands for. The driver gets a row for each of at most fit_rows labels a grade."""
     small_batches(docs.sparkSession)
-    per = {r[0]: r[1] for r in labels.where(F.col(grade_col).between(0, n_grades - 1)).groupBy(grade_col).count().collect()}
+    rated = labels.select(F.col(id_col).alias("__id"), F.col(grade_col).cast("int").alias("__grade")).where(F.col("__id").isNotNull() & F.col("__grade").between(0, n_grades - 1)).distinct()
+    per = {r[0]: r[1] for r in rated.groupBy("__grade").count().collect()}
     picks = None
     for g in sorted(per):
-        some = labels.where(F.col(grade_col) == g).select(F.col(id_col).alias("__id"), F.lit(int(g)).alias("__grade")).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
+        some = rated.where(F.col("__grade") == g).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
         picks = some if picks is None else picks.unionByName(some)
     if picks is None:
         return [], np.zeros(0, np.int64), np.zeros(0)
-    small = docs.where(F.char_length(text_col) <= FIT_CHARS).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    met = small.join(F.broadcast(picks), F.col("id") == F.col("__id")).select("text", "__grade")
+    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    met = small.join(F.broadcast(picks), F.col("id") == F.col("__id"))
+    met = met.groupBy("__id", "__grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "__grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,16 +131,16 @@ def flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.concatenate(lists) if lists else np.zeros(0, np.uint64)
 
 
-def fit(lists: list[np.ndarray], grades: np.ndarray, stands: np.ndarray, n_grades: int, high: Callable[[np.ndarray], np.ndarray], options: dict, least_g: float, **more) -> OrdinalModel:
+def fit(lists: list[np.ndarray], grades: np.ndarray, stands: np.ndarray, n_grades: int, high: Callable[[np.ndarray], np.ndarray], options: dict, least_g: float, kept: int = KEPT, **more) -> OrdinalModel:
     """A model on the telling features. Grades that no row has merge with the next below; without rows everything is grade 0."""
     if not len(grades):
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(n_grades - 1, 50.0), options)
     rows, hashes = flat(lists)
-    kept, _, _ = telling(rows, hashes, high(grades), least_g)
-    at = np.minimum(np.searchsorted(kept, hashes), max(0, len(kept) - 1))
-    hit = kept[at] == hashes if len(kept) else np.zeros(len(hashes), bool)
-    w, theta = fit_cumulative_link(rows[hit], at[hit], grades, stands, len(kept), n_grades, **more)
-    return OrdinalModel(kept, w, theta, options)
+    known, _, _ = telling(rows, hashes, high(grades), least_g, most=kept)
+    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+    hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+    w, theta = fit_cumulative_link(rows[hit], at[hit], grades, stands, len(known), n_grades, **more)
+    return OrdinalModel(known, w, theta, options)
 
 
 def scored(docs: DataFrame, model: OrdinalModel, text_col: str, names: tuple[str, str, str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import replacing
-from .ordinal import FIT_ROWS, OrdinalModel, fit, labelled_sample, scored
+from .ordinal import FIT_ROWS, KEPT, OrdinalModel, fit, labelled_sample, scored
 
 GRADES = 3
 OPTIONS = {"beginnings": False, "marks": True}
@@ -29,10 +29,10 @@ def rating(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, F.when(toxic.isNotNull(), 0)).when((quality == 1) & (toxic == 1), 1).when((quality == 1) & (toxic == 0), 2)
 
 
-def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS) -> OrdinalModel:
-    """ratings: id and a grade 0 to 2. fit_rows bounds the sample of each grade."""
+def fit_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS, kept: int = KEPT) -> OrdinalModel:
+    """ratings: id and a grade 0 to 2. fit_rows bounds the sample of each grade, kept the features of the model."""
     lists, grades, stands = labelled_sample(docs, ratings, id_col, text_col, grade_col, GRADES, fit_rows, OPTIONS)
-    return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_g=LEAST_G)
+    return fit(lists, grades, stands, GRADES, lambda g: g > 0, OPTIONS, least_g=LEAST_G, kept=kept)
 
 
 def score_quality(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:

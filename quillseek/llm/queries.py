@@ -24,7 +24,7 @@ def vocabulary(name: str, folder: str | None = None) -> str:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = toxicity.fit_toxicity(docs, documents(spark, sf_dir, "labels"))
+    model = toxicity.fit_flags(docs, documents(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", "severity", "p_toxic", "p_severe", "rejected")
 
 

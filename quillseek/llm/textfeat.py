@@ -7,14 +7,15 @@ their beginnings and the marks between them are hashed without a loop over words
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes that are hashed at a time; longer texts are cut at the next space.
-SLICE = 1 << 20
+#: Bytes that are hashed at a time; longer texts are cut at the next white space, or after SLACK more bytes without any.
+SLICE, SLACK = 1 << 20, 1 << 16
 #: Lengths in bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6, 7)
 #: Bytes of a mark that are hashed.
@@ -37,14 +38,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+_gap = {bytes: re.compile(rb"[\x20\x09-\x0d]"), str: re.compile(r"[\x20\x09-\x0d]")}
+
+
+def _cut(t: bytes | str, at: int) -> int:
+    """Where the slice that begins at `at` ends: at white space, else between two characters."""
+    if len(t) - at <= SLICE + SLACK:
+        return len(t)
+    if gap := _gap[type(t)].search(t, at + SLICE, at + SLICE + SLACK):
+        return gap.start()
+    end = at + SLICE + SLACK
+    while isinstance(t, bytes) and t[end] & 0xC0 == 0x80 and end > at + SLICE:
+        end -= 1
+    return end
+
+
 def slices(texts: list[bytes] | list[str]) -> Iterator[tuple[list[int], list]]:
-    """Groups of (number of the text, part of it) of about SLICE bytes or characters; longer texts are cut at spaces."""
+    """Groups of (number of the text, part of it) of about SLICE bytes or characters, SLICE + SLACK longer at most."""
     owners, parts, size = [], [], 0
     for i, t in enumerate(texts):
-        at, space = 0, b" " if isinstance(t, bytes) else " "
+        at = 0
         while at < len(t):
-            end = t.find(space, at + SLICE) if len(t) - at > SLICE else -1
-            end = len(t) if end < 0 else end
+            end = _cut(t, at)
             owners.append(i)
             parts.append(t[at:end])
             size += end - at

@@ -206,6 +206,22 @@ def test_shards_of_the_table(spark, data, raw):
     assert max(sizes.values()) < 1.1 * sum(sizes.values()) / 10
 
 
+def test_the_registered_shards(spark, data, raw):
+    """40 shards as the query makes them: the law of near equal sizes, whole groups, slots without gaps."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    out = llm_queries()["op7_sharding"](spark, data)
+    assert {f.name: f.dataType.simpleString() for f in out.schema} == {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    rows = out.join(docs.select("doc_id", "text"), "doc_id").collect()
+    check_shards(rows, [(r[0], r[1]) for r in raw], 40)
+    assert len(rows) == len(raw) and {(r.law, r.grown_shard) for r in rows} == {("bytes", None)}
+    sizes, groups = Counter(), Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+        groups[r.text or ""] += r.size
+    # no contiguous partition of whole groups can do better than its mean and its largest group
+    assert set(sizes) == set(range(40)) and max(sizes.values()) <= sum(sizes.values()) / 40 + max(groups.values())
+
+
 def test_shards_of_odd_rows_and_hot_groups(spark, odd, empty):
     assert sharding.shard(odd, 3).count() == odd.count() and sharding.shard(empty, 3).count() == 0
     hot = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i}") for i in range(3000)], "doc_id int, text string")
