@@ -34,7 +34,30 @@ def test_stages_keep_the_columns(spark, data):
 
 
 def test_stages_of_odd_rows(spark, data, odd, empty):
+    """What each stage keeps of nulls, empty and long texts, ties and repeated rows: by hand."""
     wide = lambda d: d.withColumn("n_chars", F.length("text").cast("long"))
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, wide(odd), data).count()
-        assert stage(spark, wide(empty), data).count() == 0
+    rows = Counter((r.doc_id, r.text) for r in odd.collect())
+    stage = {name: f for name, f in corpus_pipeline.STAGES}
+    kept = {name: Counter((r.doc_id, r.text) for r in f(spark, wide(odd), data).collect()) for name, f in corpus_pipeline.STAGES[:4]}
+    assert kept["toxicity"] == rows
+    # of equal texts the largest id, of repeated rows one
+    best = {}
+    for i, t in rows:
+        key = ascii_lower(t)
+        best[key] = max(best.get(key, (-2, None)), (-1 if i is None else i, t), key=lambda x: x[0])
+    assert kept["exact dedup"] == Counter((None if i < 0 else i, t) for i, t in best.values())
+    # near copies: ids whose component has a smaller one go, null ids stay
+    near = brute_components({k: fingerprint(t) for k, (i, t) in enumerate(rows.elements())})
+    every = [*rows.elements()]
+    least = {}
+    for k, (i, _) in enumerate(every):
+        if i is not None:
+            least[near[k]] = min(least.get(near[k], i), i)
+    assert kept["simhash near-dedup"] == Counter(r for k, r in enumerate(every) if r[0] is None or least[near[k]] == r[0])
+    plan = mixing.mix(wide(odd)).collect()
+    assert sum(kept["mixing to target weights"].values()) == sum(r.copies for r in plan) and set(kept["mixing to target weights"]) <= set(rows)
+    coded = stage["bpe encoding"](spark, wide(odd), data).collect()
+    assert Counter(r.doc_id for r in coded) == Counter(i for i, _ in rows.elements()) and all(r.round_trip for r in coded)
+    assert {r.n_tokens for r in coded if r.doc_id in (3, 4)} == {0}
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, wide(empty), data).count() == 0
