@@ -47,6 +47,13 @@ def zone_name(text: str | None) -> str | None:
 
 
 def _add(t: dt.datetime, n: int, unit: str) -> dt.datetime:
+    try:
+        return _added(t, n, unit)
+    except (ValueError, OverflowError) as e:
+        raise DateMathError(f"no date: {t:%Y-%m-%d} and {n}{unit}") from e
+
+
+def _added(t: dt.datetime, n: int, unit: str) -> dt.datetime:
     if unit in "yM":
         months = t.year * 12 + t.month - 1 + n * (12 if unit == "y" else 1)
         year, month = divmod(months, 12)
@@ -98,7 +105,10 @@ def evaluate(text: str, now: Callable[[], dt.datetime], tz: str | None = None) -
         raise DateMathError(f"not a date: {text}")
     end = _add(t, 1, unit) if unit else t + dt.timedelta(microseconds=1)
     utc = lambda x: x.astimezone(dt.UTC).replace(tzinfo=None)
-    return utc(t), utc(end)
+    try:
+        return utc(t), utc(end)
+    except OverflowError as e:
+        raise DateMathError(f"no date: {text}") from e
 
 
 def is_date(text: str) -> bool:

@@ -16,6 +16,8 @@ CALENDAR = {
     "q": "quarter", "1q": "quarter", "quarter": "quarter",
     "y": "year", "1y": "year", "year": "year",
 }
+#: Seconds that a calendar unit has at least.
+LEAST_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604_800, "month": 28 * 86400, "quarter": 90 * 86400, "year": 365 * 86400}
 _fixed = re.compile(r"([+-]?)(\d+(?:\.\d+)?)(ms|[smhdw])$")
 _seconds = {"ms": 0.001, "s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 POINTS = 100
@@ -33,7 +35,11 @@ def interval(text: str | None, start: dt.datetime | None = None, end: dt.datetim
     if text:
         text = text.strip()
         found = CALENDAR.get(text) or CALENDAR.get(text.lower() if len(text) > 2 else text)
-        return ("calendar", found) if found else ("fixed", seconds(text))
+        if found:
+            return "calendar", found
+        if (size := seconds(text)) <= 0:
+            raise ValueError(f"not an interval: {text}")
+        return "fixed", size
     if start is None or end is None:
         return "calendar", "day"
     step = (end - start).total_seconds() / POINTS

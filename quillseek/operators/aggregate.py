@@ -176,10 +176,8 @@ class Aggregator:
             return Rows(df, rows.elements), lambda f, by: fill_gaps(f, by, key, F.lit(1).cast("long")), lambda f: f.withColumn(key, F.col(f"`{key}`") * F.lit(step))
         if agg.op == "geogrid":
             precision = int(agg.proximity or 1)
-            if not 1 <= precision <= 12:
-                raise ValueError(f"{agg.name}: precision must be 1 to 12")
             lat, lon = self.compiler._lat_lon(c, ref)
-            df = df.where(c.isNotNull()).withColumn(key, geo.geohash(lat, lon, precision)).withColumn("__lat", lat).withColumn("__lon", lon)
+            df = df.where(lat.isNotNull() & lon.isNotNull()).withColumn(key, geo.geohash(lat, lon, precision)).withColumn("__lat", lat).withColumn("__lon", lon)
             return Rows(df, rows.elements), None, None
         return self._date_key(Rows(df, rows.elements), c, agg, ref, key)
 
@@ -236,7 +234,7 @@ class Aggregator:
         low = high = None
         if self.start and self.end:
             low, high = (cut(to_local(F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"))) for t in (self.start, self.end))
-        filled = lambda f, by: fill_gaps(f, by, key, step, low, high)
+        filled = lambda f, by: fill_gaps(f, by, key, step, low, high, intervals.LEAST_SECONDS[size] if kind == "calendar" else size)
         return Rows(df, rows.elements), filled, (lambda f: f.withColumn(key, to_utc(k))) if tz and kind == "calendar" else None
 
     def _bucket(self, rows: Rows, agg: Agg, by: list[str], path: str, most: int | None = 1) -> None:

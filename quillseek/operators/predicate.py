@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -23,17 +25,27 @@ class Unsupported(ValueError):
     pass
 
 
+_whole = re.compile(r"[+-]?[0-9]+")
+_number = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+_endless = re.compile(r"[+-]?(nan|inf(inity)?)", re.I)
+
+
 def typed(value: str, kind: T.DataType | None):
-    """A literal of the field's type; None if the text is none."""
+    """A literal of the field's type; None if the text is none. Numbers are written with ASCII digits."""
+    digits = value.strip()
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType) and not _whole.fullmatch(digits):
+        return None
+    if isinstance(kind, T.FloatType | T.DoubleType | T.DecimalType) and not _number.fullmatch(digits) and not (_endless.fullmatch(digits) and not isinstance(kind, T.DecimalType)):
+        return None
     try:
         if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
-            n = int(value)
+            n = int(digits)
             bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}[type(kind)]
             return n if -(1 << bits - 1) <= n < 1 << bits - 1 else None
         if isinstance(kind, T.FloatType | T.DoubleType):
-            return float(value)
+            return float(digits)
         if isinstance(kind, T.DecimalType):
-            return decimal.Decimal(value)
+            return decimal.Decimal(digits)
     except (ValueError, decimal.InvalidOperation):
         return None
     if isinstance(kind, T.BooleanType):
@@ -290,10 +302,9 @@ class PredicateCompiler:
                 continue
             literal = typed(bound, ref.dtype)
             if literal is None and isinstance(ref.dtype, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
-                try:
-                    literal = float(bound)
-                except ValueError:
-                    pass
+                # a bound beyond the type, or between two whole numbers
+                literal = typed(bound, T.DoubleType())
+                literal = None if literal is None or math.isnan(literal) else literal
             if literal is None:
                 return Const(False)
             tests.append((sign, F.lit(literal)))
@@ -353,7 +364,9 @@ class PredicateCompiler:
     @staticmethod
     def _lat_lon(c: Column, ref: FieldRef) -> tuple[Column, Column]:
         if isinstance(ref.dtype, T.StringType):
-            return F.split(c, ",")[0].cast("double"), F.split(c, ",")[1].cast("double")
+            # points that aren't `lat,lon` are nowhere
+            parts = F.split(c, ",")
+            return tuple(F.try_element_at(parts, F.lit(i)).try_cast("double") for i in (1, 2))
         return c.getField("lat"), c.getField("lon")
 
     def _geo_distance(self, node: Term, ref: FieldRef) -> Condition:
