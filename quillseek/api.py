@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from dataclasses import field as dc_field
@@ -61,6 +63,8 @@ class EngineConfig:
     #: Off unless named: "wildcards", "regex", "fuzzy", "dots" (`f:1..5`), "count" (`count:_`).
     extensions: frozenset[str] = frozenset()
     validation: ValidationOptions = dc_field(default_factory=ValidationOptions)
+    #: Told of every compiled expression (debug) and of what was left out of it (warning).
+    logger: logging.Logger = dc_field(default_factory=lambda: logging.getLogger("quillseek"))
 
     def now(self) -> dt.datetime:
         return self.clock() if self.clock else dt.datetime.now(dt.UTC)
@@ -181,13 +185,36 @@ class QueryEngine:
     def _compiler(self, df: DataFrame, context: Context) -> PredicateCompiler:
         return PredicateCompiler(self.config, self.catalog_for(df), context)
 
+    def _tell(self, context: Context) -> None:
+        for warning in context.result.warnings:
+            self.config.logger.warning("%s: %s", context.kind, warning)
+        if context.result.unresolved_fields:
+            self.config.logger.warning("%s: unknown fields %s", context.kind, ", ".join(sorted(context.result.unresolved_fields)))
+
+    def report(self, df: DataFrame, query: str | Node) -> dict[str, list[str]]:
+        """What Spark makes of a filter: `pushed` to the scans, `left` for after them, the columns `read`, and the `joins`."""
+        plan = self.filter(df, query)._jdf.queryExecution().sparkPlan()
+        leaves = plan.collectLeaves()
+        pushed, read = [], []
+        for i in range(leaves.size()):
+            if (scan := leaves.apply(i)).nodeName().startswith("Scan") and hasattr(scan, "metadata"):
+                known = scan.metadata()
+                if known.contains("PushedFilters"):
+                    pushed += [x for x in known.apply("PushedFilters")[1:-1].split(", ") if x]
+                    read += list(scan.requiredSchema().fieldNames())
+        text = plan.toString()
+        return {"pushed": pushed, "left": re.findall(r"Filter (\(.*\))", text), "read": read, "joins": re.findall(r"(\w+Join\w*) ", text)}
+
     def predicate(self, df: DataFrame, query: str | Node) -> Column:
         """The filter as a column. With relations it holds an EXISTS and belongs in a `where` of df."""
         context = self.context()
         node = self._tree(query, "query", context)
-        return self._compiler(df, context).column(node)
+        out = self._compiler(df, context).column(node)
+        self._tell(context)
+        return out
 
     def _tree(self, expression: str | Node, kind: str, context: Context) -> Node:
+        self.config.logger.debug("%s: %s", kind, expression)
         if isinstance(expression, str):
             node = self.parse(expression, kind, context)
             if not context.result.is_valid:
@@ -200,7 +227,9 @@ class QueryEngine:
         node = self._tree(query, "query", context)
         if isinstance(node, Group) and node.left is None and node.right is None:
             return df
-        return df.where(self._compiler(df, context).column(node))
+        condition = self._compiler(df, context).column(node)
+        self._tell(context)
+        return df.where(condition)
 
     def _aggregator(self, df: DataFrame, aggs: str | Node, start: dt.datetime | None, end: dt.datetime | None) -> tuple[Aggregator, list]:
         context = self.context("aggregation", operations=("count",) if "count" in self.config.extensions else ())
@@ -213,7 +242,9 @@ class QueryEngine:
     def aggregate(self, df: DataFrame, aggs: str | Node, start: dt.datetime | None = None, end: dt.datetime | None = None) -> dict[str, DataFrame]:
         """A flat frame for each aggregation: `terms_x`, below it `terms_x>date_y`, ... start and end widen date buckets."""
         aggregator, tree = self._aggregator(df, aggs, start, end)
-        return aggregator.run(df, tree)
+        out = aggregator.run(df, tree)
+        self._tell(aggregator.compiler.context)
+        return out
 
     def metrics(self, df: DataFrame, aggs: str | Node) -> DataFrame:
         """The metrics of an expression as one row, computed in one pass."""

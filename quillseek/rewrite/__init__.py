@@ -6,6 +6,7 @@ from .shape import cleanup, invert, referenced_fields, remove_fields
 from .fields import hierarchical, resolve_fields
 from .includes import expand_includes
 from .kinds import aggregation_tree, sort_terms
+from .visitor import Visitor
 from .validate import ValidationError, ValidationOptions, ValidationResult, check
 
-__all__ = ["Chain", "Context", "ValidationError", "ValidationOptions", "ValidationResult", "aggregation_tree", "check", "cleanup", "expand_includes", "hierarchical", "invert", "map_nodes", "referenced_fields", "remove_fields", "resolve_fields", "sort_terms"]
+__all__ = ["Visitor", "Chain", "Context", "ValidationError", "ValidationOptions", "ValidationResult", "aggregation_tree", "check", "cleanup", "expand_includes", "hierarchical", "invert", "map_nodes", "referenced_fields", "remove_fields", "resolve_fields", "sort_terms"]

@@ -15,8 +15,17 @@ def require_batch(df: DataFrame, what: str) -> None:
         raise UnsupportedInStreaming(f"{what} needs all rows of its input, which a stream doesn't have")
 
 
-def windowed_counts(df: DataFrame, time_col: str, duration: str, late: str, by: list[str] = ()) -> DataFrame:
-    """Counts for each tumbling window of event time; rows later than `late` are left out by the watermark."""
+def windowed_counts(df: DataFrame, time_col: str, duration: str, late: str, by: list[str] = (), slide: str | None = None, session: bool = False) -> DataFrame:
+    """Counts for each window of event time; rows later than `late` are left out by the watermark.
+
+    Windows are tumbling, or begin every `slide`, or are sessions that end after `duration`
+    without a row of the same `by` (a stream's sessions need one).
+    """
     # watermarks need timestamps of an instant; those without a zone are taken in the session's
     held = df.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late)
-    return held.groupBy(F.window(time_col, duration), *by).agg(F.count(F.lit(1)).alias("doc_count")).select(F.col("window.start").alias("start"), *by, "doc_count")
+    if session and not by:
+        raise UnsupportedInStreaming("sessions need a field that tells them apart")
+    window = F.session_window(time_col, duration) if session else F.window(time_col, duration, slide)
+    counts = held.groupBy(window.alias("window"), *by).agg(F.count(F.lit(1)).alias("doc_count"))
+    ends = [F.col("window.end").alias("end")] if session else []
+    return counts.select(F.col("window.start").alias("start"), *ends, *by, "doc_count")
