@@ -302,7 +302,9 @@ def _others() -> dict[str, tuple[Query, str | None]]:
 
 
 def engine_queries() -> dict[str, tuple[Query, str | None]]:
-    return {**_filters(), **_joins(), **_aggs(), **_others()}
+    from .queries_rules import rule_queries
+
+    return {**_filters(), **_joins(), **_aggs(), **_others(), **rule_queries()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

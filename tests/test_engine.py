@@ -93,17 +93,19 @@ def test_overrides_runtime_fields_and_errors(people):
 
 @pytest.fixture(scope="module")
 def nested(spark):
-    kind = "id string, parent array<struct<field1: string, child: array<struct<field1: string>>>>, tags array<string>"
-    rows = [("A", [("Bob", [("Charlie",)]), ("Sue", [("Alice",)])], ["x", "y"]), ("B", [("Bob", [("Alice",)])], ["y"]), ("C", None, None), ("D", [], [])]
+    """Farms with fields of crops; 1 grows beans on clay and rye on sand, 2 rye on clay."""
+    kind = "id string, plots array<struct<soil: string, crops: array<struct<sort: string, tons: int>>>>, tags array<string>"
+    rows = [("A", [("clay", [("bean", 3)]), ("sand", [("rye", 9)])], ["x", "y"]), ("B", [("clay", [("rye", 4), ("oat", None)])], ["y"]), ("C", None, None), ("D", [], [])]
     return spark.createDataFrame(rows, kind).cache()
 
 
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        ("parent.field1:Bob AND parent.child.field1:Alice", "B"), ("parent.field1:Bob AND NOT parent.child.field1:Alice", "A"), ("NOT parent.field1:Sue", "BCD"),
-        ("parent:(parent.field1:Sue parent.child.field1:Alice)", "A"), ("NOT parent:(parent.field1:Bob parent.child.field1:Alice)", "ACD"),
-        ("_exists_:parent", "AB"), ("_missing_:parent", "CD"), ("tags:y", "AB"), ("NOT tags:x", "BCD"), ("parent.field1:Sue OR parent.child.field1:Charlie", "A"),
+        ("plots.soil:clay AND plots.crops.sort:rye", "B"), ("plots.soil:clay AND NOT plots.crops.sort:rye", "A"), ("NOT plots.soil:sand", "BCD"),
+        ("plots:(plots.soil:sand plots.crops.sort:rye)", "A"), ("NOT plots:(plots.soil:clay plots.crops.sort:rye)", "ACD"),
+        ("_exists_:plots", "AB"), ("_missing_:plots", "CD"), ("tags:y", "AB"), ("NOT tags:x", "BCD"), ("plots.soil:sand OR plots.crops.sort:oat", "AB"),
+        ("plots.crops.sort:rye AND plots.crops.tons:>5", "A"), ("_missing_:plots.crops.tons", "B"),
     ],
 )
 def test_nested_arrays(nested, query, want):
@@ -111,10 +113,10 @@ def test_nested_arrays(nested, query, want):
 
 
 def test_nested_sort_and_filter(nested):
-    order = [r.id for r in QueryEngine().sort(nested, "-parent.field1 id").collect()]
+    order = [r.id for r in QueryEngine().sort(nested, "-plots.soil id").collect()]
     assert order == ["A", "B", "C", "D"]
-    e = QueryEngine(nested_filter=lambda path: 'parent.field1:Bob' if path == "parent" else None)
-    assert [r.id for r in e.filter(nested, "_exists_:parent.child.field1 parent.field1:*").collect()] == ["A", "B"]
+    e = QueryEngine(nested_filter=lambda path: "plots.soil:clay" if path == "plots" else None)
+    assert [r.id for r in e.filter(nested, "_exists_:plots.crops.sort plots.soil:*").collect()] == ["A", "B"]
 
 
 def test_relations(spark):
@@ -223,3 +225,77 @@ def test_unordered_and_approximate(people):
     df = e.aggregate(people, "terms:(status~0 cardinality:age percentiles:age~50)")["terms_status"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and {r.status: r.cardinality_age for r in df.collect()} == {"open": 2, "closed": 1, "held": 1}
+
+
+@pytest.mark.parametrize(("query", "want"), [("age:3_0", []), ("age:+30", [1, 5]), ("age:٣٠", []), ("age:[29.5 TO 1e2}", [1, 3, 4, 5]), ("age:>nan", []), ("age:<99999999999999999999", [1, 3, 4, 5]), ("at:>now-999999y", []), ("at:[0001-01-01||-1y TO *]", []), ("at:[9999-12-31||+1d TO *]", [])])
+def test_literals_that_are_none(people, query, want):
+    assert ids(QueryEngine().filter(people, query)) == want
+
+
+def test_decimals_and_doubles(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 1.50BD, double('NaN')), (2, 2.00BD, 1.5) AS t(id, m, d)")
+    e = QueryEngine()
+    assert ids(e.filter(df, "m:nan OR m:1.5")) == [1] and ids(e.filter(df, "m:inf")) == [] and ids(e.filter(df, "d:nan")) == [1] and ids(e.filter(df, "d:1_5")) == []
+
+
+def test_gaps_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0.0, dt.datetime(2014, 1, 1)), (1, 1e13, dt.datetime(2024, 1, 1))], "g int, v double, t timestamp_ntz")
+    for agg in ("histogram:v~1", "date:t~second", "terms:(g histogram:v~1)"):
+        found = next(f for n, f in QueryEngine().aggregate(df, agg).items() if n != "terms_g")
+        with pytest.raises(Exception, match="buckets with gaps"):
+            found.collect()
+    assert QueryEngine().aggregate(df, "histogram:(v~1 @min:1)")["histogram_v"].count() == 2
+    monkeypatch.setattr("quillseek.plans.gaps.STRETCH", 7)
+    for agg, n in (("date:t~day", 3653), ("date:t~month", 121), ("date:t~90d", 42), ("histogram:v~1e11", 101)):
+        rows = [*QueryEngine().aggregate(df, agg).values()][-1].collect()
+        assert len(rows) == len({r[0] for r in rows}) == n and sum(r.doc_count for r in rows) == 2
+
+
+@pytest.mark.parametrize("agg", ["histogram:age~0", "histogram:age~x", "histogram:age~-1", "percentiles:age~150", "percentiles:age~a", "date:at~foo", "date:at~0d", "date:(at~day @offset:x)", "geogrid:age~13", "terms:(status histogram:age~0)"])
+def test_wrong_arguments_are_validation_errors(people, agg):
+    with pytest.raises(ValidationError):
+        QueryEngine().aggregate(people, agg)
+    assert not QueryEngine().validate_aggregations(agg).is_valid
+
+
+def test_points_that_are_none(spark):
+    df = spark.createDataFrame([(1, "10,20"), (2, "nowhere"), (3, "1,2,3"), (4, None), (5, "x,y"), (6, "")], "id int, place string")
+    e = QueryEngine(geo_fields=("place",))
+    assert ids(e.filter(df, 'place:"10,20"~1km')) == [1] and ids(e.filter(df, 'NOT place:"10,20"~1km')) == [2, 3, 4, 5, 6]
+    assert ids(e.filter(df, 'place:["11,19" TO "9,21"]')) == [1]
+    assert sum(r.doc_count for r in e.aggregate(df, "geogrid:place~2")["geogrid_place"].collect()) == 2
+
+
+def test_text_matches_whole_tokens(spark):
+    rows = [(1, "The cat_1 sat."), (2, "concatenate"), (3, "CAT; of, the!"), (4, "of the"), (5, None), (6, "of--the cats"), (7, "été, L'ÉTÉ"), (8, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    e = QueryEngine(analyzed_fields=("t",))
+    want = {"t:cat": [3], "t:cat_1": [1], "t:cat*": [1, 3, 6], "t:*": [1, 2, 3, 4, 6, 7, 8], 't:"of the"': [3, 4, 6], 't:"the of"': [], "t:été": [7], "t:cat-sat": [1, 3], "NOT t:the": [2, 5, 7, 8], 't:"!"': [], "t:c.t": []}
+    assert {q: ids(e.filter(df, q)) for q in want} == want
+
+
+def test_logging_and_reports(people, caplog, tmp_path, spark):
+    with caplog.at_level("DEBUG", logger="quillseek"):
+        e = QueryEngine()
+        e.filter(people, "nothing:1")
+        e.aggregate(people, "avg:name")
+    text = caplog.text
+    assert "nothing:1" in text and "unknown fields nothing" in text and "no number" in text and "resolve" in text
+    people.write.parquet(str(tmp_path / "p"))
+    found = QueryEngine().report(spark.read.parquet(str(tmp_path / "p")).select("id", "age", "name"), "age:>30 AND name:/x/")
+    assert "GreaterThan(age,30)" in found["pushed"] and set(found["read"]) == {"id", "age", "name"} and found["joins"] == []
+
+
+def test_sort_form_folds_latin_letters():
+    from quillseek.functions.text import FOLDS
+
+    assert {FOLDS[c] for c in "àåçéñöýžșǎłđøế"} == set("aacenoyzsaldoe") and all(len(v) == 1 for v in FOLDS.values())
+
+
+def test_sliding_and_session_windows(spark):
+    rows = [(1, dt.datetime(2024, 1, 1, h)) for h in (0, 1, 2, 9)] + [(2, dt.datetime(2024, 1, 1, 5))]
+    df = spark.createDataFrame(rows, "u int, t timestamp_ntz")
+    assert sum(r.doc_count for r in windowed_counts(df, "t", "2 hours", "1 hour", ["u"], slide="1 hour").collect()) == 10
+    assert sorted((r.u, r.doc_count) for r in windowed_counts(df, "t", "3 hours", "1 hour", ["u"], session=True).collect()) == [(1, 1), (1, 3), (2, 1)]
+    with pytest.raises(UnsupportedInStreaming):
+        windowed_counts(df, "t", "3 hours", "1 hour", session=True)

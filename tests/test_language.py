@@ -120,6 +120,35 @@ def test_chain_management():
     log.append("|")
     chain(parse("x"), None)
     assert log == ["b", "a", "d", "|", "z", "y", "d"]
+    # without a priority the new one runs one place earlier than the old one did
+    log.clear()
+    Chain((9, a), (10, b)).replace(b, step("n"))(parse("x"), None)
+    Chain((10, a), (10, b)).replace(b, step("n"))(parse("x"), None)
+    assert log == ["a", "n", "n", "a"]
+
+
+def test_visitor():
+    from quillseek.rewrite import Visitor
+
+    class Names(Visitor):
+        def __init__(self):
+            self.result = []
+
+        def group(self, node, context):
+            self.result.append(node.name or "group")
+            return node.name != "skip"
+
+        def leaf(self, node, context):
+            self.result.append(node.name)
+
+        def missing(self, node, context):
+            self.result.append("missing")
+
+    assert Names().visit(parse("a:1 b:[1 TO 2] skip:(c:1 d:2) _missing_:e _exists_:f")) == ["group", "a", "group", "b", "group", "skip", "group", "missing", "f"]
+    assert Names().visit(None) == []
+    node = parse("a:1")
+    names = Names()
+    assert Chain((1, names))(node, None) is node and names.result == ["group", "a"]
 
 
 def test_aggregation_tree():

@@ -41,7 +41,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert normal(df.columns, [tuple(r) for r in df.collect()]) == normal(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize(("name", "rows"), [("s_group_all", "part"), ("s_nulls_all", "orders"), ("s_nested_all", "(SELECT DISTINCT l_orderkey FROM lineitem)")])
+@pytest.mark.parametrize(("name", "rows"), [("s_group_all", "part"), ("s_nulls_all", "orders"), ("s_nested_all", "(SELECT DISTINCT l_orderkey FROM lineitem)"), *[(n, "part") for n in ("s_form", "s_sub_field", "s_keyword")], *[(n, "orders") for n in ("s_unmapped", "s_override", "s_relational")], ("s_geo", "customer")])
 def test_whole_order_as_sql(spark, duck, name, rows):
     query, sql = engine_queries()[name]
     got = [tuple(r) for r in query(spark, DATA).collect()]
