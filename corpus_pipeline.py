@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillseek.llm import bpe, exactdedup, mixing, simhash, toxicity
-from quillseek.llm.common import documents, stored
+from quillseek.llm.common import discard, documents, stored
 from quillseek.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -63,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; each result is written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, "pipeline")
+            discard(spark, before)
     return docs

@@ -35,8 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(own)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_dir(spark)}/quillseek/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillseek/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators have stored: once their results are written, nothing reads them."""
+    remove_path(spark, scratch_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -36,7 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == before or not mark[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            out.scratch = now.scratch
+            return out
         before = tuple(mark)
         following = stored(_small_star(_large_star(now)), "edges")
         discard(spark, now)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom import Bloom
-from .common import HEAVY_ROWS, attach, every, free_name, replacing, small_batches, stored, with_field
+from .common import HEAVY_ROWS, attach, discard, every, free_name, replacing, small_batches, stored, with_field
 from .components import connected_components
 
 SEED = 42
@@ -137,6 +137,7 @@ def near_components(rows: DataFrame) -> DataFrame:
     roots = connected_components(star_edges(near.repartition("fp")))
     member = per.join(roots, per.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     member = stored(member, "simhash-roots")
+    discard(rows.sparkSession, per, near, roots)
     smallest = member.where("root <> fp").groupBy("root").agg(F.min("least").alias("below"), F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "r")
     heads = member.where("root = fp").join(smallest, F.col("root") == F.col("r"), "left").select("root", F.least("least", "below").alias("component_id"), F.coalesce("size", F.lit(0)).alias("size"))
     found = attach(member.select("fp", "n", "root"), heads, ["root"], "size").select("fp", "component_id", "n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillseek.llm import bloom, exactdedup, linededup, simhash
 from quillseek.llm.bloom import Bloom
-from quillseek.llm.common import attach
+from quillseek.llm.common import attach, clean, scratch_dir, stored
 from quillseek.llm.components import connected_components
 from quillseek.llm.queries import op3_simhash, op4_line_dedup, op9_exact_dedup
 
@@ -243,13 +243,23 @@ def test_a_text_of_many_lines_that_go(spark):
     assert got == want and got[1][1] == 60_000 and got[3][1] == 0
 
 
+def test_clean_removes_this_applications_tables(spark):
+    import os
+
+    stored(spark.range(3).toDF("x"), "some")
+    assert os.listdir(scratch_dir(spark).removeprefix("file://"))
+    clean(spark)
+    assert not os.path.exists(scratch_dir(spark).removeprefix("file://"))
+    assert stored(spark.range(3).toDF("x"), "some").count() == 3
+
+
 def test_nothing_is_left_behind(spark, odd, monkeypatch):
     """Runs and tables of lines go, also after a failure."""
     import os
 
     def tables():
         found = {t.name for t in spark.catalog.listTables()}
-        shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/quillseek"
+        shared = scratch_dir(spark).removeprefix("file://")
         return {t for t in found if t.startswith("line_run")}, {f for f in os.listdir(shared) if f.startswith(("line-run", "line-hashes", "line-again", "line-frequent", "line-batch"))}
 
     linededup.dedup_lines(odd).collect()
