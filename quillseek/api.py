@@ -10,7 +10,9 @@ from dataclasses import dataclass, replace
 from dataclasses import field as dc_field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lang import Node, Op, QueryParseError, Term, parse
@@ -110,6 +112,7 @@ class QueryEngine:
         if isinstance(self.config.default_operator, str):
             self.config.default_operator = Op[self.config.default_operator.upper()]
         self._catalog = catalog
+        self._kept: list[DataFrame] = []
         c = self.config
         mapped = hierarchical(c.field_map) if c.field_map else None
         names = [r for r in (c.field_resolver, mapped) if r]
@@ -239,9 +242,35 @@ class QueryEngine:
             raise ValidationError(context.result)
         return Aggregator(self.config, self.catalog_for(df), self._compiler(df, context), start, end), tree
 
-    def aggregate(self, df: DataFrame, aggs: str | Node, start: dt.datetime | None = None, end: dt.datetime | None = None) -> dict[str, DataFrame]:
-        """A flat frame for each aggregation: `terms_x`, below it `terms_x>date_y`, ... start and end widen date buckets."""
+    def _read_once(self, df: DataFrame, aggregator: Aggregator, tree: list) -> DataFrame:
+        """df with the columns that the aggregations look at, persisted."""
+        names, stack = set(), [*tree]
+        while stack:
+            agg = stack.pop()
+            stack += agg.children
+            ref = aggregator.catalog.resolve(agg.field)
+            if agg.op == "tophits" or agg.ready is not None or self.config.nested_filter or (ref is not None and (ref.compute or ref.relations)):
+                names = set(df.columns)
+                break
+            names |= {ref.path[0]} if ref is not None else set()
+        kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c in names]).persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept.append(kept)
+        return kept
+
+    def release(self) -> None:
+        """Forget what aggregations have kept with read_once."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def aggregate(self, df: DataFrame, aggs: str | Node, start: dt.datetime | None = None, end: dt.datetime | None = None, read_once: bool = False) -> dict[str, DataFrame]:
+        """A flat frame for each aggregation: `terms_x`, below it `terms_x>date_y`, ... start and end widen date buckets.
+
+        Frames are lazy, and each reads its columns of df. With read_once the first one to run
+        reads the columns of all from df and keeps them for the others, until `release`.
+        """
         aggregator, tree = self._aggregator(df, aggs, start, end)
+        if read_once and not df.isStreaming:
+            df = self._read_once(df, aggregator, tree)
         out = aggregator.run(df, tree)
         self._tell(aggregator.compiler.context)
         return out
@@ -264,8 +293,8 @@ class QueryEngine:
             require_batch(df, "a sort")
         return df.orderBy(*columns) if columns else df
 
-    def search(self, df: DataFrame, query: str = "", aggs: str = "", sort: str = "", limit: int | None = None, offset: int = 0, fields: Iterable[str] | None = None) -> SearchResult:
-        """Filtered rows in order, cut to a page and to some fields; aggregations are over all filtered rows."""
+    def search(self, df: DataFrame, query: str = "", aggs: str = "", sort: str = "", limit: int | None = None, offset: int = 0, fields: Iterable[str] | None = None, read_once: bool = False) -> SearchResult:
+        """Filtered rows in order, cut to a page and to some fields; aggregations are over all filtered rows (read_once: as for `aggregate`)."""
         found = self.filter(df, query)
         rows = self.sort(found, sort)
         if offset:
@@ -276,4 +305,4 @@ class QueryEngine:
             catalog = self.catalog_for(df)
             refs = [(f, catalog.resolve(f)) for f in fields]
             rows = rows.select(*[r.column().alias(f) for f, r in refs if r is not None])
-        return SearchResult(rows, self.aggregate(found, aggs) if aggs else {})
+        return SearchResult(rows, self.aggregate(found, aggs, read_once=read_once) if aggs else {})

@@ -299,3 +299,15 @@ def test_sliding_and_session_windows(spark):
     assert sorted((r.u, r.doc_count) for r in windowed_counts(df, "t", "3 hours", "1 hour", ["u"], session=True).collect()) == [(1, 1), (1, 3), (2, 1)]
     with pytest.raises(UnsupportedInStreaming):
         windowed_counts(df, "t", "3 hours", "1 hour", session=True)
+
+
+def test_shared_reading(spark, people, tmp_path):
+    people.write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    e, agg = QueryEngine(), "terms:(status~2 terms:(ok avg:age)) date:at~month"
+    apart, shared = e.aggregate(df, agg), e.aggregate(df, agg, read_once=True)
+    assert {n: flat(f) for n, f in shared.items()} == {n: flat(f) for n, f in apart.items()}
+    plan = shared["date_at"]._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and "name" not in plan.split("ReadSchema")[1]
+    e.release()
+    assert not e._kept and flat(e.search(df, "age:>30", aggs="max:age", read_once=True).aggregations["max_age"]) == [(50,)]
