@@ -170,5 +170,7 @@ def replicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         full = attach(wide, plan, [key], names["n"])
     n = free_name(docs, "mix_copies")
     copies = _copies({name: F.col(c) for name, c in names.items()})
-    taken = full.select(*every(docs), copies.alias(n)).where(F.col(n) > 0)
-    return taken.select(*every(docs), F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*every(docs))
+    times = full.select(*every(docs), copies.alias(n))
+    # outer, and filtered by what it makes: a filter on the copies would count each text's words once more
+    each, nth = F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), F.col(n))), free_name(docs, "mix_nth")
+    return times.select(*every(docs), F.explode_outer(each).alias(nth)).where(F.col(nth).isNotNull()).select(*every(docs))
