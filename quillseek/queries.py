@@ -211,8 +211,7 @@ def _filters() -> dict[str, tuple[Query, str]]:
         "f_geo_across": f(_located, 'loc:["60,150" TO "-60,-150"]', ["c_custkey"], f"SELECT c_custkey FROM {_LOCATED} WHERE lat BETWEEN -60 AND 60 AND (lon >= 150 OR lon <= -150)"),
         "f_geo_distance": f(_located, 'loc:"10,20"~2500km', ["c_custkey"], f"SELECT c_custkey FROM {_LOCATED} WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(lat - 10) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(lon - 20) / 2), 2)))) <= 2500000"),
         "n_same_elem": f(_items, "items:(items.qty:>45 items.flag:R)", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R'"),
-        "n_coalesced": f(_items, "items.qty:>45 AND l_orderkey:<1000 AND items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'R' AND l_orderkey < 1000"),
-        "n_coalesced_all": f(_counted_items, "items.qty:>45 AND n_lines:>3 AND items.flag:R", ["l_orderkey"], "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3 AND bool_or(l_quantity > 45 AND l_returnflag = 'R')"),
+        "n_coalesced": f(_counted_items, "items.qty:>45 AND n_lines:>3 AND items.flag:R", ["l_orderkey"], "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 3 AND bool_or(l_quantity > 45 AND l_returnflag = 'R')"),
         "n_or": f(_items, "items.qty:>49 OR items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49 OR l_returnflag = 'R'"),
         "n_neg": f(_items, "NOT items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"),
         "n_filter": f(_items, "items.flag:R", ["l_orderkey"], "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1", nested_filter=lambda path: "items.line:1"),
@@ -288,12 +287,9 @@ def _others() -> dict[str, tuple[Query, str | None]]:
     return {
         "a_geogrid": (partial(_agg, _located, "geogrid:(loc~3)", "geogrid_loc", rounded=("avg_lat", "avg_lon")), _geogrid_sql(3)),
         "s_multi": (_top_orders, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 10"),
-        "s_group": (lambda s, d: QueryEngine().sort(table(s, d, "part"), "-(p_size p_brand +p_partkey)").limit(50).select("p_partkey"), "SELECT p_partkey FROM part ORDER BY p_size DESC, p_brand DESC, p_partkey LIMIT 50"),
-        "s_nulls": (lambda s, d: QueryEngine().sort(_orders_null(s, d), "pri -o_orderkey").limit(40).select("o_orderkey"), f"SELECT o_orderkey FROM {_ORDERS_NULL} ORDER BY pri NULLS LAST, o_orderkey DESC LIMIT 40"),
-        "s_nested": (lambda s, d: QueryEngine().sort(_items(s, d), "-items.qty l_orderkey").limit(30).select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY max(l_quantity) DESC, 1 LIMIT 30"),
-        "s_group_all": (lambda s, d: QueryEngine().sort(table(s, d, "part"), "-(p_size p_brand +p_partkey)").select("p_partkey"), "SELECT p_partkey FROM part ORDER BY p_size DESC, p_brand DESC, p_partkey"),
-        "s_nulls_all": (lambda s, d: QueryEngine().sort(_orders_null(s, d), "pri -o_orderkey").select("pri", "o_orderkey"), f"SELECT pri, o_orderkey FROM {_ORDERS_NULL} ORDER BY pri NULLS LAST, o_orderkey DESC"),
-        "s_nested_all": (lambda s, d: QueryEngine().sort(_items(s, d), "-items.qty l_orderkey").select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY max(l_quantity) DESC, 1"),
+        "s_group": (lambda s, d: QueryEngine().sort(table(s, d, "part"), "-(p_size p_brand +p_partkey)").select("p_partkey"), "SELECT p_partkey FROM part ORDER BY p_size DESC, p_brand DESC, p_partkey"),
+        "s_nulls": (lambda s, d: QueryEngine().sort(_orders_null(s, d), "pri -o_orderkey").select("pri", "o_orderkey"), f"SELECT pri, o_orderkey FROM {_ORDERS_NULL} ORDER BY pri NULLS LAST, o_orderkey DESC"),
+        "s_nested": (lambda s, d: QueryEngine().sort(_items(s, d), "-items.qty l_orderkey").select("l_orderkey"), "SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY max(l_quantity) DESC, 1"),
         "v_invert": (_inverted, "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice >= 1000 AND o_totalprice < 200000)"),
         "v_override": (_override, "SELECT o_orderkey FROM orders WHERE NOT o_totalprice > 400000 AND o_orderstatus = 'O'"),
         "c_runtime": (_runtime, "SELECT event_id FROM events WHERE json_extract_string(props, '$.k')::BIGINT >= 50 AND event_type IN ('click', 'view')"),
