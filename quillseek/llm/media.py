@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import scratch_path, small_batches
+from .common import discard, scratch_path, small_batches, stored
 
 WIDTH = 64
 ARCHIVE_BYTES, ARCHIVE_MEMBERS = 32 << 20, 20_000
@@ -131,9 +131,11 @@ def store_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["archive", "bytes", "members"])
 
-    found = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "archive string, bytes bigint, members bigint")
+    found = stored(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "archive string, bytes bigint, members bigint"), "media-archives")
+    # a file for each part, dealt out from what is written: a repeated task would report other archives
     where = scratch_path(docs.sparkSession, "media-manifest")
-    found.withColumn("part", F.pmod(F.xxhash64("archive"), F.lit(PARTS)).cast("int")).write.partitionBy("part").parquet(where)
+    found.withColumn("part", F.pmod(F.xxhash64("archive"), F.lit(PARTS)).cast("int")).repartition(PARTS, "part").write.partitionBy("part").parquet(where)
+    discard(docs.sparkSession, found)
     out = docs.sparkSession.read.schema("archive string, bytes bigint, members bigint, part int").parquet(where)
     out.scratch = where
     return out
