@@ -109,16 +109,18 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how:
     most 1/HEAVY_ROWS of the rows.
     """
     values = [c for c in groups.columns if c not in keys]
+    name = {c: free_name(rows, f"__{c}") for c in ("heavy", "spread", "light", "zero", *[f"h_{k}" for k in keys], *[f"l_{k}" for k in keys])}
     heavy = groups.orderBy(F.desc(size), *keys).limit(HEAVY_ROWS)
-    heavy = heavy.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.struct(*values).alias("__heavy"))
-    found = rows.join(F.broadcast(heavy), [rows[k] == heavy[f"__h_{k}"] for k in keys], "left").drop(*[f"__h_{k}" for k in keys])
-    is_heavy = F.col("__heavy").isNotNull()
-    found = found.withColumn("__spread", F.when(is_heavy, row_hash(rows)).otherwise(F.lit(0).cast("long")))
+    heavy = heavy.select(*[F.col(k).alias(name[f"h_{k}"]) for k in keys], F.struct(*values).alias(name["heavy"]))
+    found = rows.join(F.broadcast(heavy), [F.col(k) == F.col(name[f"h_{k}"]) for k in keys], "left").drop(*[name[f"h_{k}"] for k in keys])
+    is_heavy = F.col(name["heavy"]).isNotNull()
+    found = found.withColumn(name["spread"], F.when(is_heavy, row_hash(rows)).otherwise(F.lit(0).cast("long")))
     # always 0, but no literal: as one, the optimizer would take it out of the join's keys
-    light = groups.select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.struct(*values).alias("__light"), F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__zero"))
-    on = [F.col(k) == F.col(f"__l_{k}") for k in keys] + [F.col("__spread") == F.col("__zero")]
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1))
+    light = groups.select(*[F.col(k).alias(name[f"l_{k}"]) for k in keys], F.struct(*values).alias(name["light"]), zero.alias(name["zero"]))
+    on = [F.col(k) == F.col(name[f"l_{k}"]) for k in keys] + [F.col(name["spread"]) == F.col(name["zero"])]
     out = found.join(light, on, "left")
-    both = F.coalesce("__heavy", "__light")
+    both = F.coalesce(name["heavy"], name["light"])
     if how == "inner":
         out = out.where(both.isNotNull())
     return out.select(*every(rows), *[both[v].alias(v) for v in values])

@@ -89,6 +89,9 @@ def test_attach_with_heavy_keys(spark, monkeypatch):
     groups = rows.groupBy("k").agg(F.count("*").alias("n")).where("k IS NOT NULL")
     got = {r.i: r.n for r in attach(rows, groups, ["k"], "n").collect()}
     assert len(got) == 301 and got[1] == 200 and got[3] == 1 and got[999] is None
+    more = {n: F.lit(5) for n in ("__heavy", "__spread", "__light", "__zero", "__h_k", "__l_k", "a.b")}
+    wide = attach(rows.withColumns(more), groups, ["k"], "n").collect()
+    assert {r.i: r.n for r in wide} == got and {r["__spread"] for r in wide} == {5}
 
 
 def fingerprint(text):
@@ -227,7 +230,7 @@ def test_lines_for_any_batches(spark, odd, batches, fanout):
 def test_lines_of_nothing_and_clashes(odd, empty):
     assert linededup.dedup_lines(empty).count() == 0
     assert linededup.dedup_lines(odd.withColumn("Kept", F.lit(1))).columns == [*odd.columns, "n_lines", "n_dropped", "kept"]
-    more = {n: F.lit(1) for n in ("__drops", "__id", "line_id", "line_text", "line_maybe", "bloom0", "drops", "id", "h1", "n", "a.b")}
+    more = {n: F.lit(1) for n in ("__drops", "__id", "line_id", "line_text", "line_maybe", "bloom0", "drops", "id", "h1", "n", "__heavy", "__spread", "a.b")}
     wide = linededup.dedup_lines(odd.withColumns(more))
     assert wide.columns == [*odd.columns, *more, "n_lines", "n_dropped", "kept"]
     plain = linededup.dedup_lines(odd)
