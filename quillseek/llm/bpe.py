@@ -585,11 +585,12 @@ class Coder:
 def texts_of(column: pa.Array) -> list[bytes]:
     """The UTF-8 of each text; null is empty, and bytes that are no UTF-8 become U+FFFD."""
     column = column.fill_null("")
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
     try:
         column.validate(full=True)
     except pa.ArrowInvalid:
-        return [x.decode("utf-8", "replace").encode() for x in column.cast(pa.binary()).to_pylist()]
-    return column.cast(pa.binary()).to_pylist()
+        return [x.decode("utf-8", "replace").encode() for x in raw]
+    return raw
 
 
 def _specials(spec: dict) -> dict[str, int]:

@@ -124,6 +124,8 @@ def test_long_words_and_bytes_that_are_no_text(coder, library):
     column = pa.Array.from_buffers(pa.string(), 4, raw.buffers())
     back = bpe.decoder(VOCABULARY).decode_column(coder.encode_column(column)).to_pylist()
     assert back == ["ok", "\ufffd\ufffd(", "", "\ufffd"]
+    large = pa.array(["über", None, ""], pa.large_string())
+    assert bpe.decoder(VOCABULARY).decode_column(coder.encode_column(large)).to_pylist() == ["über", "", ""]
     half = library.encode("😀", add_special_tokens=False).ids[:1]
     lists = pa.array([half, None, [], library.encode("a", add_special_tokens=False).ids], pa.list_(pa.int32()))
     assert bpe.decoder(VOCABULARY).decode_column(lists).to_pylist() == [library.decode(half), "", "", "a"]
