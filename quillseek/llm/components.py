@@ -1,26 +1,26 @@
-"""Connected components over edge tables, by alternating star contraction."""
+"""Connected components over edge tables, by alternating star contraction. The edges of a hub are spread over tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import attach, discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest node around it."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-    out = both.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    out = attach(both.where("v > u"), least, ["u"], "degree", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them; edges lead from u down to v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-    joined = edges.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return joined.where("u <> v").unionByName(least.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
+    joined = attach(edges.select("u", "v"), least, ["u"], "degree", "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return joined.where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -196,6 +196,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_components_around_hubs(spark, monkeypatch):
+    """A hub larger than its neighbours, one smaller than all, a chain between them; only one node counts as heavy."""
+    monkeypatch.setattr("quillseek.llm.common.HEAVY_ROWS", 1)
+    edges = [(9000, i) for i in range(10, 400)] + [(1, i) for i in range(1000, 1300)] + [(9000, 5000), (5000, 1299)] + [(7001, 7002), (7002, 7003)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    big = {x for e in edges[:-2] for x in e}
+    assert got == {**dict.fromkeys(big, 1), 7001: 7001, 7002: 7001, 7003: 7001}
+
+
 def brute_lines(pairs, least_docs=3):
     key = lambda line: ascii_lower(line.strip(SPACE))
     where = defaultdict(set)
