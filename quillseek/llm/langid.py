@@ -33,6 +33,8 @@ SAMPLE = 1500
 LONGEST = 4
 WORDS_KEPT, GRAMS_KEPT, LEAST_WORDS = 60_000, 60_000, 2
 SMOOTH = 0.1
+#: Tasks that sum and write the counts: so many, or more where each would get over PART_TEXTS sampled texts, times languages.
+PARTS, PART_TEXTS = 16, 4000
 UND = "und"
 
 _cache: dict[str, np.ndarray] = {}
@@ -148,7 +150,8 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(docs.sparkSession)
     counts = picked.select("text", "lang").mapInArrow(_counts, "lang string, n int, h bigint, c bigint").groupBy("n", "h").agg(*[F.sum(F.when(F.col("lang") == k, F.col("c")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(languages)])
     all_of = sum((F.col(f"c{i}") for i in range(1, len(languages))), F.col("c0"))
-    counts = stored(counts.withColumn("total", all_of), "language-counts")
+    parts = max(PARTS, sum(min(sample, n) for n in per.values()) * len(languages) // PART_TEXTS)
+    counts = stored(counts.withColumn("total", all_of).coalesce(parts), "language-counts")
     kept = [counts.where((F.col("n") == n) & (F.col("total") >= (1 if n else least_words))).orderBy(F.desc("total"), "h").limit(grams_kept if n else words_kept) for n in range(LONGEST + 1)]
     union = kept[0]
     for k in kept[1:]:

@@ -280,3 +280,27 @@ def test_language_backs_off_and_odd_rows(spark, odd, empty):
     blank = langid.fit_languages(empty)
     assert blank.predict(["text"])[0] == ["und"]
     assert langid.identify(odd.withColumn("score", F.lit("x")), model).where("score <= 1").count() == odd.count()
+
+
+def test_language_counts_take_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has; more where the sample is large. The model is the same."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdeé"[i % 2 :]), 5)) for _ in range(40)), "ab"[i % 2]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    files, store = [], langid.stored
+    monkeypatch.setattr(langid, "stored", lambda df, name: files.append(len((out := store(df, name)).inputFiles())) or out)
+    few = langid.fit_languages(docs)
+    confs = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        many = langid.fit_languages(docs)
+        monkeypatch.setattr(langid, "PART_TEXTS", 2 * len(rows) // 40, raising=False)
+        large = langid.fit_languages(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert files[1] <= 16 < files[2] <= 40
+    for n, (h, logs) in few.tables.items():
+        assert len(h) and all(np.array_equal(h, m.tables[n][0]) and np.array_equal(logs, m.tables[n][1]) for m in (many, large))
